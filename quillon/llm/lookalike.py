@@ -51,7 +51,15 @@ def _static_map() -> dict[int, str | None]:
 
 STATIC = _static_map()
 _JOINER = re.compile("(?<![\U0001f000-\U0001faff☀-➿️])‍")
-_LOOSE = re.compile("[^\x00-\x7f一-鿿、。“”…]")
+_LOOSE = re.compile("[^\x00-\x7fÀ-ÿ一-鿿、。“”…]")
+
+
+_STATIC = {chr(a): b or "" for a, b in STATIC.items()}
+
+
+def _static(m: re.Match) -> str:
+    c = m.group()
+    return _STATIC.get(c, c)
 
 
 def fold(text: str) -> str:
@@ -60,7 +68,7 @@ def fold(text: str) -> str:
         return text.replace("\t", " ") if "\t" in text else text
     if not _LOOSE.search(text):
         return text
-    text = text.translate(STATIC)
+    text = _LOOSE.sub(_static, text)
     if "‍" in text:
         text = _JOINER.sub("", text)
     return unicodedata.normalize("NFC", text).replace("\t", " ")
@@ -103,7 +111,7 @@ for _a, _b in LATIN_LOOK.items():
 
 def skeleton(folded: str) -> str:
     """A key on which all texts that look the same agree, whatever the corpus holds; not a form to deliver."""
-    return folded.translate(_SKELETON) if not folded.isascii() else folded
+    return folded if folded.isascii() or not _FOREIGN.search(folded) else folded.translate(_SKELETON)
 
 
 _SKELETON = {ord(a): b for a, b in LATIN_LOOK.items()}

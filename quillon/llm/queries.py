@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunking, encode, lookalike, mixing
+from quillon.llm import chunking, encode, lookalike, mixing, truncation
 from quillon.plans.runtime import table
 
 ITEM = ["dataset", "item_id"]
@@ -15,6 +15,14 @@ def items_with_gold(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "result_items").withColumn("gold", F.col("detail.gold"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.find_truncated(items_with_gold(spark, d))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(items_with_gold(spark, d), ["dataset", "backbone"])
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(items_with_gold(spark, d), ITEM, ["reply", "gold"], "row_id", ["reply", "gold", "instr"])
 
@@ -46,7 +54,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_unified, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_unified, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
