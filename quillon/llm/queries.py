@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunking, encode, lookalike, mixing, truncation
+from quillon.llm import chunking, encode, leakage, lookalike, mixing, sampling, splits, truncation
 from quillon.plans.runtime import table
 
 ITEM = ["dataset", "item_id"]
@@ -23,6 +23,52 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation_report(items_with_gold(spark, d), ["dataset", "backbone"])
 
 
+def p2_leaks(spark: SparkSession, d: str, max_edits: int = 0) -> DataFrame:
+    held = table(spark, d, "eval_items").withColumn("gold", F.col("detail.gold"))
+    return leakage.union_holders({
+        "documents": leakage.find_leaks(table(spark, d, "documents"), held, "doc_id", "text", max_edits=max_edits),
+        "knowledge_cards": leakage.find_leaks(table(spark, d, "knowledge_cards"), held, "card_id", "content", max_edits=max_edits),
+    })
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_leaks(spark, d).select("holder", "holder_id", "eval_id")
+
+
+def p2_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also windows that differ by up to two edits."""
+    return p2_leaks(spark, d, max_edits=2)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leak_report(p2_found(spark, d), table(spark, d, "eval_items"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.tied_pairs(table(spark, d, "result_items"), ITEM, "group_id")
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return splits.assign_splits(table(spark, d, "result_items"), ITEM, "group_id")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    s = p3_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_items"), F.countDistinct("root").alias("n_units"))
+    every = s.agg(F.sum("n_items").alias("n"))
+    return s.crossJoin(F.broadcast(every)).select("split", "n_items", "n_units", (F.col("n_items") / F.col("n")).alias("share"))  # one row
+
+
+RATE = 0.1
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_items(table(spark, d, "result_items"), ITEM, RATE)
+
+
+def p4_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.stable_sample(table(spark, d, "result_items"), ITEM, RATE).select("row_id", *ITEM)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(items_with_gold(spark, d), ITEM, ["reply", "gold"], "row_id", ["reply", "gold", "instr"])
 
@@ -54,10 +100,20 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p5_found, p5_unified, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
+    unit = "(('0x' || substr(md5('sample-1|' || length(dataset) || ':' || dataset || '|' || length(item_id) || ':' || item_id), 1, 13))::BIGINT / 4503599627370496.0)"
     return {
+        "p3_found": """
+            WITH RECURSIVE m AS (SELECT DISTINCT dataset, item_id, group_id AS g FROM result_items WHERE group_id IS NOT NULL),
+            e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM m x JOIN m y USING (dataset, item_id) WHERE x.g <> y.g),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+            SELECT DISTINCT a AS group_a, b AS group_b FROM r WHERE a < b""",
+        "p4_sample": f"""
+            SELECT dataset, item_id, count(*) AS n_rows, {unit} AS u FROM result_items
+            WHERE dataset IS NOT NULL AND item_id IS NOT NULL AND {unit} < 0.1 GROUP BY dataset, item_id""",
+        "p4_rows": f"SELECT row_id, dataset, item_id FROM result_items WHERE {unit} < 0.1",
         "p8_round_trip": "SELECT true AS equal, count(*) AS n FROM documents",
     }
