@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.operators import drift
+from quillon.plans.runtime import cut, table
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "raw_records"))
+
+
+def p7_records(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "raw_records")
+    return drift.ingest(raw, approved=drift.approve_renames(cut(drift.schema_changes(raw))))
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (p7_found, p7_records)}
 
 
 def oracle_sql() -> dict[str, str]:
