@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunking, encode, leakage, lookalike, mixing, sampling, splits, truncation
+from quillon.llm import chunking, defects, encode, leakage, lookalike, mixing, sampling, splits, truncation
 from quillon.plans.runtime import table
 
 ITEM = ["dataset", "item_id"]
@@ -77,6 +77,18 @@ def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_texts(items_with_gold(spark, d), ["row_id"], ["reply", "gold"], ["reply", "gold", "instr"]).select("row_id", "field", "fixed", "n_repairs")
 
 
+def answered(spark: SparkSession, d: str) -> DataFrame:
+    return items_with_gold(spark, d).where("error is null")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.find_defects(answered(spark, d), table(spark, d, "documents"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defect_report(p6_found(spark, d), answered(spark, d), ["dataset", "backbone"])
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_texts(table(spark, d, "documents"))
 
@@ -100,7 +112,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
