@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import importlib
 
-from quillon.operators import drift
-from quillon.plans.runtime import cut, table
+from quillon.plans.registry import ORACLES, QUERIES
 
-
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_changes(table(spark, d, "raw_records"))
-
-
-def p7_records(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "raw_records")
-    return drift.ingest(raw, approved=drift.approve_renames(cut(drift.schema_changes(raw))))
+for _module in ("drift_queries", "sampling_queries"):
+    importlib.import_module(f"quillon.plans.{_module}")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p7_records)}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
