@@ -190,7 +190,9 @@ def leak_overlap(spark, d):
 
 
 def norm_sql(t: str) -> str:
-    return rf"trim(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}\s\x0b\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{3000}}]', '', 'g'))"
+    kept = WS[1:-2]
+    return rf"regexp_replace(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}{kept}]', '', 'g'), '^{WS}|{WS}$', '', 'g')"
+
 
 
 
