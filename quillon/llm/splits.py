@@ -52,7 +52,7 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             parent = further.drop("moved")
             if further.where("moved").isEmpty():
                 break
-        labels = cut(labels.join(parent.select(F.col("a").alias("root"), "p"), "root").select("node", F.col("p").alias("root")))
+        labels = cut(labels.join(parent.select(F.col("a").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))  # finished components stay
         pa, pb = parent.select("a", F.col("p").alias("na")), parent.select(F.col("a").alias("b"), F.col("p").alias("nb"))
         moved = live.join(pa, "a").join(pb, "b").where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"), "w")
         live = cut(moved.groupBy("a", "b").agg(F.min("w").alias("w")))
