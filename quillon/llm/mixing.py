@@ -48,6 +48,7 @@ def fit_cells(cells: list, targets: dict, total_tokens: float | None = None) ->
     cells = [c for c in cells if c["source"] in targets and c["tokens"] > 0 and (targets[c["source"]][0] or 0) > 0]
     if not cells:
         return {}, 0.0
+    cells.sort(key=lambda c: (c["source"], str(c["lang"]), str(c["topic"])))  # the same sums in every layout
     number = lambda xs: np.unique(np.array([str(x) for x in xs]), return_inverse=True)
     tok = np.array([c["tokens"] for c in cells], dtype=float)
     names, src = number([c["source"] for c in cells])
