@@ -66,6 +66,7 @@ class BacktrackingEncoder:
         self.fits: dict[int, bool] = {}
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.spaces: dict[str, bool] = {}
         self.offsets = array("q", [0])
         for w in words:
             self.offsets.append(self.offsets[-1] + len(w))
@@ -138,6 +139,13 @@ class BacktrackingEncoder:
         """The pre-tokens, whose concatenation is the text."""
         return self.pattern.findall(text)
 
+    def is_space(self, c: str) -> bool:
+        """White space as the pre-token pattern knows it."""
+        known = self.spaces.get(c)
+        if known is None:
+            known = self.spaces[c] = regex.match(r"\s", c) is not None
+        return known
+
     def ids_of(self, piece: str) -> tuple[int, ...]:
         known = self.memo.get(piece)
         if known is None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,42 +13,26 @@ from quillon.llm.bpe import encoder, vocabulary
 
 #: Strength of a cut before a position, by what stands around it; fixed values.
 BLANK_LINE, LINE, SENTENCE, CLAUSE, WORD, LETTER = 5, 4, 3, 2, 1, 0
-SENTENCE_ENDS = frozenset(".!?。！？…；;")
-CLAUSE_ENDS = frozenset(",，、:：)）]”\"»")
 NAMES = ("letter", "word", "clause", "sentence", "line", "blank_line")
-PENALTY = (0.0, 0.14, 0.30, 0.46, 0.62, 0.78)
-
-
-def strength(text: str, at: int) -> int:
-    """How strongly the text pauses just before position at."""
-    before, after = text[at - 1], text[at]
-    if before == "\n" or before == "\r":
-        if before == "\r" and after == "\n":
-            return LETTER
-        return BLANK_LINE if at > 1 and text[at - 2] in "\r\n" and text[at - 2 : at] != "\r\n" or text[max(0, at - 4) : at] == "\r\n\r\n" else LINE
-    if before.isspace():
-        i = at - 1
-        while i > 0 and text[i - 1].isspace():
-            i -= 1
-        last = text[i - 1] if i else ""
-        if after.isspace():
-            return LETTER
-        return SENTENCE if last in SENTENCE_ENDS and last else CLAUSE if last in CLAUSE_ENDS and last else WORD
-    if after.isspace():
-        return LETTER
-    if before in "。！？；":
-        return SENTENCE if after not in "”」）" else LETTER
-    if before in "，、：":
-        return CLAUSE
-    if before > "⺀" and after > "⺀":  # signs that stand for words
-        return WORD if before.isalnum() and after.isalnum() else LETTER
-    return LETTER
+#: How far from the midpoint, as a share of the window, a stronger boundary may lie to win over a weaker one at it.
+REACH = (0.0, 0.14, 0.30, 0.46, 0.62, 0.78)
+# A text may be cut at the end of every match.
+BOUNDARIES = {
+    BLANK_LINE: re.compile(r"(?:\r\n|\n|\r)(?:[ \t]*(?:\r\n|\n|\r))+(?=[^\r\n])"),
+    LINE: re.compile(r"(?:\r\n|\n|\r)(?=[^\r\n])"),
+    SENTENCE: re.compile(r"[.!?…。！？;；][”\"»)）\]]*[^\S\r\n]+(?=\S)|[。！？；][”」）]*(?=[^\s”」）])"),
+    CLAUSE: re.compile(r"[,:，、：)）\]”\"»][^\S\r\n]+(?=\S)|[，、：](?=\S)"),
+    WORD: re.compile(r"[^\S\r\n]+(?=\S)"),
+}
+
+
+def is_sign(c: str) -> bool:
+    """Whether a letter is a sign of a script without word spaces."""
+    return c > "⺀" and c.isalnum()
 
 
 def unbroken(text: str, at: int) -> bool:
     """Whether a cut before at leaves combining marks, joiners and surrogate-like pairs whole."""
-    import unicodedata
-
     return not unicodedata.combining(text[at]) and text[at] not in "‍️" and text[at - 1] != "‍" and not 0x1F3FB <= ord(text[at]) <= 0x1F3FF
 
 
@@ -61,12 +47,15 @@ class Cutter:
     def prepare(self, text: str) -> int:
         """Offsets and running token counts of the text; returns its tokens."""
         self.text = text
-        self.starts, self.sums, self.inner = [0], [0], {}
+        self.starts, self.sums, self.inner, self.found = [0], [0], {}, {}
+        at = n = 0
+        memo, add_start, add_sum = self.enc.memo, self.starts.append, self.sums.append
         for p in self.enc.pieces(text):
-            ids = self.enc.ids_of(p)
-            self.starts.append(self.starts[-1] + len(p))
-            self.sums.append(self.sums[-1] + len(ids))
-        return self.sums[-1]
+            at += len(p)
+            n += len(memo.get(p) or self.enc.ids_of(p))
+            add_start(at)
+            add_sum(n)
+        return n
 
     def upto(self, at: int) -> int:
         """Tokens before a position; inside a pre-token, those that end at or before it."""
@@ -87,77 +76,125 @@ class Cutter:
         ends, chars = self.inner[i]
         return self.sums[i] + bisect.bisect_right(ends, chars[at - self.starts[i]])
 
+    def alone(self, a: int, b: int) -> int:
+        """Tokens of text[a:b] as the tokenizer counts it alone.
+
+        Matching goes from left to right and looks ahead only past white space, so from the start of a pre-token all
+        pre-tokens stay as they are but the last: a broken one, and white space at the end, which joins into one.
+        """
+        i = bisect.bisect_left(self.starts, a)
+        if self.starts[i] != a:
+            return self.enc.count(self.text[a:b])
+        e = b
+        while e > a and self.enc.is_space(self.text[e - 1]):
+            e -= 1
+        j = bisect.bisect_left(self.starts, e)
+        n = self.sums[j] - self.sums[i] if self.starts[j] == e else self.sums[j - 1] - self.sums[i] + self.enc.count(self.text[self.starts[j - 1] : e])
+        return n + (len(self.enc.ids_of(self.text[e:b])) if e < b else 0)
+
     def place(self, tokens: int, low: int, high: int) -> int:
-        """The first position in [low, high] with at least so many tokens before it."""
-        while low < high:
-            mid = (low + high) // 2
-            if self.upto(mid) < tokens:
-                low = mid + 1
-            else:
-                high = mid
-        return low
+        """The first position in [low, high] with at least so many tokens before it, or high."""
+        i = bisect.bisect_left(self.sums, tokens)
+        if i >= len(self.starts):
+            return high
+        if i and self.sums[i] - self.sums[i - 1] > 4:  # inside a long pre-token
+            a, b = self.starts[i - 1], self.starts[i]
+            while a < b:
+                mid = (a + b) // 2
+                if self.upto(mid) < tokens:
+                    a = mid + 1
+                else:
+                    b = mid
+            return min(max(a, low), high)
+        return min(max(self.starts[i], low), high)
+
+    def boundaries(self, kind: int) -> list[int]:
+        """Positions of one strength in the text, found once."""
+        found = self.found.get(kind)
+        if found is None:
+            found = self.found[kind] = [m.end() for m in BOUNDARIES[kind].finditer(self.text)]
+        return found
 
     def best_cut(self, a: int, b: int) -> tuple[int, int]:
         """Position and strength of the cut of [a, b): strong, and near the midpoint of its tokens."""
         left, right = self.upto(a), self.upto(b)
-        size = right - left
-        mid = self.place((left + right) // 2, a + 1, b - 1)
-        # strong boundaries may lie further off than weak ones; the window keeps at least a tenth on either side
-        low, high = self.place(left + max(1, size // 10), a + 1, b - 1), self.place(right - max(1, size // 10), a + 1, b - 1)
-        if low > high:
-            low = high = mid
-        best = (-1e9, mid, LETTER)
-        at = mid
+        edge = max(1, (right - left) // 10)  # either side keeps at least a tenth
+        low, mid, high = (self.place(t, a + 1, b - 1) for t in (left + edge, (left + right) // 2, right - edge))
+        high = max(high, mid)
         span = max(mid - low, high - mid, 1)
-        text = self.text
-        for d in range(span + 1):
-            if best[2] >= LETTER and best[0] > PENALTY[BLANK_LINE] - d / span:
-                break  # nothing further off can win
-            for at in {mid - d, mid + d}:
-                if low <= at <= high and a < at < b:
-                    s = strength(text, at)
-                    score = PENALTY[s] - d / span
-                    if score > best[0] and (s > LETTER or unbroken(text, at)):
-                        best = (score, at, s)
-        if best[0] == -1e9:
-            best = (0, mid, LETTER)
+        best = (-1.0, mid, LETTER)
+        for kind in (BLANK_LINE, LINE, SENTENCE, CLAUSE, WORD):
+            if best[0] >= REACH[kind]:
+                break
+            places = self.boundaries(kind)
+            i = bisect.bisect_left(places, mid)
+            for k in (i - 1, i):
+                if 0 <= k < len(places) and low <= places[k] <= high:
+                    score = REACH[kind] - abs(places[k] - mid) / span
+                    if score > best[0]:
+                        best = (score, places[k], kind)
+        if best[0] < 0:
+            return self.plain_cut(low, mid, high)
         return best[1], best[2]
 
-    def cores(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, strength of the cut at start) of the pieces before overlaps; the first piece has strength -1."""
+    def plain_cut(self, low: int, mid: int, high: int) -> tuple[int, int]:
+        """A cut where nothing pauses near: between signs that stand for words, or outside words and numbers if one of
+        their edges is near, in any case beside no combining mark."""
+        text = self.text
+        whole = None
+        for d in range(min(64, max(mid - low, high - mid)) + 1):
+            for at in (mid - d, mid + d) if d else (mid,):
+                if low <= at <= high and unbroken(text, at):
+                    if is_sign(text[at]) and is_sign(text[at - 1]):
+                        return at, WORD
+                    if not (text[at].isalnum() and text[at - 1].isalnum()):
+                        return at, LETTER
+                    whole = at if whole is None else whole
+        return (mid if whole is None else whole), LETTER
+
+    def cores(self, text: str) -> list[tuple[int, int, int, int]]:
+        """(start, end, strength of the cut at start, tokens) of the pieces before overlaps; the first has strength -1."""
         out, room = [], self.limit - self.overlap - 1
         todo = [(0, len(text), -1)]
         while todo:
             a, b, s = todo.pop()
-            if b - a <= 1 or (self.upto(b) - self.upto(a) <= room and self.enc.count(text[a:b]) <= room):
-                out.append((a, b, s))
+            n = self.upto(b) - self.upto(a)
+            if n <= room or b - a <= 1:
+                n = self.alone(a, b)  # which may differ at its edges
+            if n <= room or b - a <= 1:
+                out.append((a, b, s, n))
                 continue
             at, how = self.best_cut(a, b)
             todo.append((at, b, how))
             todo.append((a, at, s))
         return out
 
-    def overlap_start(self, before: int, a: int, b: int) -> int:
-        """Where the piece [a, b) starts once up to overlap tokens of the text since before are put in front."""
+    def with_overlap(self, before: int, a: int, b: int, n: int) -> tuple[int, int, int]:
+        """(start, tokens, tokens of the overlap) once up to overlap tokens of the text since before are put in front."""
         if a == 0 or not self.overlap:
-            return a
-        want = self.upto(a) - self.overlap
-        start = self.place(want, before, a)
-        near = [x for x in self.starts[bisect.bisect_left(self.starts, start) : bisect.bisect_right(self.starts, a)] if x < a]
-        if near:
-            start = near[0]
-        while start < a and (not unbroken(self.text, start) if start else False):
+            return a, n, 0
+        start = self.place(self.upto(a) - self.overlap, before, a)
+        i, j = bisect.bisect_left(self.starts, start), bisect.bisect_left(self.starts, a)
+        if i < j:
+            start = self.starts[i]
+        while start < a and start and not unbroken(self.text, start):
             start += 1
-        while start < a and (self.enc.count(self.text[start:a]) > self.overlap or self.enc.count(self.text[start:b]) >= self.limit):
+        while start < a:
+            over = self.alone(start, a)
+            if over <= self.overlap:
+                whole = self.alone(start, b)
+                if whole < self.limit:
+                    return start, whole, over
             i = bisect.bisect_right(self.starts, start)
             start = min(a, self.starts[i]) if i < len(self.starts) else a
-        return start
+        return a, n, 0
 
     def cut(self, text: str):
-        """(start, core_start, end, strength) of every piece of an oversized text."""
+        """(start, core_start, end, strength, tokens, overlap tokens) of every piece of an oversized text."""
         before = 0
-        for a, b, s in self.cores(text):
-            yield self.overlap_start(before, a, b), a, b, s
+        for a, b, s, n in self.cores(text):
+            start, whole, over = self.with_overlap(before, a, b, n)
+            yield start, a, b, s, whole, over
             before = a
 
 
@@ -185,12 +222,12 @@ def chunk_texts(
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = cutter.prepare(text) if text else 0
                 if n <= limit:
-                    rows = [(0, 0, len(text), -1)] if keep_small and text else []
+                    rows = [(0, 0, len(text), -1, n, 0)] if keep_small and text else []
                 else:
                     rows = list(cutter.cut(text))
-                for i, (start, a, b, s) in enumerate(rows):
+                for i, (start, a, b, s, whole, over) in enumerate(rows):
                     piece = text[start:b]
-                    values = (key, i + 1, len(rows), start, a, b, enc.count(piece), enc.count(text[start:a]), NAMES[s] if s >= 0 else "start", piece)
+                    values = (key, i + 1, len(rows), start, a, b, whole, over, NAMES[s] if s >= 0 else "start", piece)
                     for column, v in zip(out, values):
                         column.append(v)
                     size += len(piece)
