@@ -264,7 +264,9 @@ def approve_renames(changes: DataFrame, target=TARGET, min_streams: int = 2) ->
 
 
 def ingest(raw: DataFrame, target=TARGET, approved: dict[str, str] | None = None, keep: tuple[str, ...] = ("raw_id", "stream_id", "file_no", "line_no")) -> DataFrame:
-    """(keep..., valid, typed columns..., rescued, corrupt): one row per raw row, repeated lines included.
+    """(keep..., valid, item_no, typed columns..., rescued, corrupt): one row per raw row, repeated lines included.
+
+    item_no is the trailing number of the item id, the same however the id is written.
 
     First pass: the target schema is enforced strictly; every field that is unknown or can't be cast goes to rescued, a
     JSON object by path. Second pass: rescued values of target and approved fields are replayed with lenient casts where
@@ -276,13 +278,13 @@ def ingest(raw: DataFrame, target=TARGET, approved: dict[str, str] | None = None
     types = {path: t for path, _, t in target}
     arrow = {"string": "string", "double": "float64", "bigint": "int64", "boolean": "bool_"}
     head = ", ".join(f"`{c}` {raw.schema[c].dataType.simpleString()}" for c in keep)
-    schema = ", ".join([head, "valid boolean", *(f"`{n}` {t}" for _, n, t in target), "rescued string", "corrupt string"])
+    schema = ", ".join([head, "valid boolean, item_no string", *(f"`{n}` {t}" for _, n, t in target), "rescued string", "corrupt string"])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ("valid", *column.values(), "rescued", "corrupt")}
+            cols: dict[str, list] = {c: [] for c in ("valid", "item_no", *column.values(), "rescued", "corrupt")}
             for body in b.column(len(keep)).to_pylist():
                 record = parse_record(body)
                 row, rescued = dict.fromkeys(column.values()), {}
@@ -302,13 +304,14 @@ def ingest(raw: DataFrame, target=TARGET, approved: dict[str, str] | None = None
                             row[column[to]] = cast
                             del rescued[path]
                 cols["valid"].append(record is not None)
+                cols["item_no"].append(item_number(record.get("item_id")) if record is not None else None)
                 for n, v in row.items():
                     cols[n].append(v)
                 cols["rescued"].append(json.dumps(rescued, ensure_ascii=False, sort_keys=True) if rescued else None)
                 cols["corrupt"].append(body if record is None else None)
-            arrays = [*(b.column(i) for i in range(len(keep))), pa.array(cols["valid"], pa.bool_())]
+            arrays = [*(b.column(i) for i in range(len(keep))), pa.array(cols["valid"], pa.bool_()), pa.array(cols["item_no"], pa.string())]
             arrays += [pa.array(cols[n], getattr(pa, arrow[t])()) for _, n, t in target]
             arrays += [pa.array(cols[n], pa.string()) for n in ("rescued", "corrupt")]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "valid", *(n for _, n, _ in target), "rescued", "corrupt"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "valid", "item_no", *(n for _, n, _ in target), "rescued", "corrupt"])
 
     return raw.select(*keep, "body").mapInArrow(run, schema)
