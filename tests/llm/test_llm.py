@@ -345,9 +345,10 @@ def test_defects(spark):
     name = lambda: "".join(draw.choice(["Bel", "mor", "tan", "vik", "sol"]) for _ in range(3))
     rows, n = [], 0
     for i in range(400):
-        q = kinds[i % 4].format(name())
-        reply = "I cannot answer this kind of question today." if i % 10 == 0 else f"The answer for this one is {name()}."
-        rows.append((n, "d", "b", reply, name(), "Answer.\n" + q, "", ""))
+        q = kinds[i // 3 % 4].format(name())
+        gold = name()
+        reply = "I cannot answer this kind of question today." if i % 10 == 0 else f"The answer for this one is {gold}."
+        rows.append((n, "d", "b", reply, gold, "Answer.\n" + q, "", ""))
         n += 1
     extra = [(None, "empty"), ("?!", "empty"), (kinds[0].format("Belmor"), "copy"), ("The answer for this one was found in the", "truncated"), ("Das ist eine Antwort, die niemand versteht.", "other_language")]
     for reply, _ in extra:
