@@ -367,6 +367,21 @@ def test_defects(spark):
     assert defects.find_defects(df.limit(0), labelled).count() == 0
 
 
+def test_refusals_that_share_words_with_their_question(spark):
+    """What a template says is known from other rows, so a question that holds a word of it loses no refusal."""
+    draw = random.Random(7)
+    kinds = ["Which town hosts the {} festival?", "Why did {} workshop stop repairing?", "How many bells does {} keep?", "In which year was {} opened?"]
+    name = lambda: "".join(draw.choice(["Bel", "mor", "tan", "vik", "sol"]) for _ in range(3))
+    golds = [name() for _ in range(160)]
+    rows = [(i, "d", "b", "Sadly the clip is not something I can hear." if i % 4 == 0 else f"We think of {g} in this one.", g, "Answer.\n" + kinds[i // 4 % 4].format(name()), "", "") for i, g in enumerate(golds)]
+    held = [("Sadly the clip is not something I can hear.", "(A) yes (B) no", "The festival"), ("Sadly the clip is not something I can hear.", "Is this right? The tower is old.", "ear"), ("Sadly the clip is not something I can hear!", "What does The Clip say?", None)]
+    held += [("Sadly the clip is not something I can hear.", "What is The clip?", "not something I can hear")]  # the answer itself
+    rows += [(160 + k, "d", "b", reply, gold, "Answer.\n" + q, "", "") for k, (reply, q, gold) in enumerate(held)]
+    labelled = spark.createDataFrame([(i, "the clip is not here", "en") for i in range(40)], "doc_id long, text string, lang string")
+    got = {r.row_id for r in defects.find_defects(spark.createDataFrame(rows, ITEM_ROWS), labelled).where("defect = 'refusal'").collect()}
+    assert got == {i for i in range(160) if i % 4 == 0} | {160, 161, 162}
+
+
 def test_openings_cluster_on_shingles(spark):
     base = "i am sorry but i have no way to listen to this audio clip at all today"
     near = base.replace("today", "now")
