@@ -84,10 +84,11 @@ def knowledge_values(df: DataFrame, source: str, key_ref: str, value: str, value
 
 
 def child_rows(values: DataFrame, size: int = 2) -> DataFrame:
-    """A row per part of each value (sentences, at most size), pointing to its parent."""
-    from quillon.functions.text import sentences
-
-    parts = F.slice(F.filter(sentences(F.trim("value")), lambda s: F.trim(s) != ""), 1, size)
+    """A row per part of each value, pointing to its parent: the sentences in size runs of equal length (the last is
+    shorter, a value of fewer sentences has a part for each), which together are the whole value."""
+    own = F.split(F.trim("value"), r"(?U)(?<=[.!?。！？]\s{1,100})(?=\S)")  # sentences, each with the white space behind it
+    step = F.greatest(F.ceil(F.size(own) / size), F.lit(1)).cast("int")
+    parts = F.when(F.size(own) > 0, F.transform(F.sequence(F.lit(1), F.size(own), step), lambda i: F.regexp_replace(F.array_join(F.slice(own, i, step), ""), r"(?U)\s+$", "")))
     e = values.select(F.col("kid").alias("parent_ref"), "source", F.posexplode(parts).alias("part", "value"))
     return e.select(F.concat("parent_ref", F.lit("|"), F.col("part").cast("string")).alias("kid"), "source", "value", "parent_ref", F.lit("segment").alias("key_granularity"))
 

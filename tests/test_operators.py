@@ -226,3 +226,14 @@ def test_grid_guards(spark):
 def test_cards(spark):
     assert one(spark, render.band(F.col("s").cast("double")), s="0.85") == "high"
     assert one(spark, render.option_block(F.col("o")), o=["x", "y"]) == "A. x\nB. y"
+
+
+@pytest.mark.parametrize("value,n", [("One. Two! Three?\n\nFour. Five.", 2), ("One. Two. Three.", 2), ("One. Two.", 2), ("Only one", 1), ("一。二。 三！ 四", 2)])
+def test_child_rows_cover_the_value(spark, value, n):
+    got = J.child_rows(spark.createDataFrame([("k", "s", value)], "kid string, source string, value string")).orderBy("kid").collect()
+    assert [r.kid for r in got] == [f"k|{i}" for i in range(n)]
+    at = 0
+    for r in got:  # nothing but white space lies between the parts
+        assert not value[at : value.index(r.value, at)].strip()
+        at = value.index(r.value, at) + len(r.value)
+    assert at == len(value)
