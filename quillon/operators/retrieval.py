@@ -147,9 +147,11 @@ def centroids(vectors: DataFrame, vec: str, label: str) -> DataFrame:
     return one.select("label", F.transform("c", lambda x: x / size).alias("centroid"))
 
 
-def two_stage(vectors: DataFrame, vec_id: str, vec: str, label: str, queries: DataFrame, query_id: str, query_vec: str, k: int, coarse: int = 2) -> DataFrame:
+def two_stage(vectors: DataFrame, vec_id: str, vec: str, label: str, queries: DataFrame, query_id: str, query_vec: str, k: int, coarse: int | None = 2) -> DataFrame:
     """(query_id, vec_id, sim, rank): exact ranking within the coarse clusters whose centroids are nearest.
 
+    With coarse None nothing is lost: every cluster is searched but those that can't hold one of the best k, as the
+    query's product with the centroid and the radius around it bound the members' similarity below the k-th one found.
     label is any clustering of the vectors, such as assign_clusters gives. Queries meet the centroids only, then the
     members of their clusters by an equi-join on the cluster.
     """
@@ -158,7 +160,15 @@ def two_stage(vectors: DataFrame, vec_id: str, vec: str, label: str, queries: Da
     c = centroids(vectors, vec, label)
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("qv"))
     near = q.crossJoin(broadcast_if_small(c)).select("query_id", "qv", "label", F.round(dot(F.col("qv"), F.col("centroid")), 9).alias("csim"))
-    near = top_k(near, "query_id", "csim", ["label"], coarse, "crank")
+    if coarse is None:
+        gap = F.sqrt(F.aggregate(F.zip_with(vec, "centroid", lambda x, y: x - y), F.lit(0.0), lambda s, x: s + x * x))
+        radius = vectors.select(vec, F.col(label).alias("label")).join(c, "label").groupBy("label").agg(F.max(gap).alias("radius"))
+        found = two_stage(vectors, vec_id, vec, label, queries, query_id, query_vec, k)
+        kth = found.where(F.col("rank") == k - 1).select("query_id", F.col("sim").alias("kth"))
+        most = F.col("csim") + F.sqrt(dot(F.col("qv"), F.col("qv"))) * F.col("radius") + 1e-8
+        near = near.join(radius, "label").join(kth, "query_id", "left").where(F.col("kth").isNull() | (most >= F.col("kth"))).select("query_id", "qv", "label")
+    else:
+        near = top_k(near, "query_id", "csim", ["label"], coarse, "crank")
     members = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vec).alias("v"), F.col(label).alias("label"))
     sims = near.join(members, "label").select("query_id", "vec_id", F.round(dot(F.col("qv"), F.col("v")), 9).alias("sim"))
     return top_k(sims, "query_id", "sim", ["vec_id"], k)

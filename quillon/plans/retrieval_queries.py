@@ -109,7 +109,7 @@ def vec_two_stage(spark, d):
 def vec_clustered_two_stage(spark, d):
     """Clusters fitted on a sample instead of given labels."""
     v = R.assign_clusters(table(spark, d, "embeddings"), "vec_id", "embedding", 8)
-    return R.two_stage(v, "vec_id", "embedding", "cluster", v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+    return R.two_stage(v, "vec_id", "embedding", "cluster", v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5, coarse=None)
 
 
 @query(f"""

@@ -237,3 +237,24 @@ def test_child_rows_cover_the_value(spark, value, n):
         assert not value[at : value.index(r.value, at)].strip()
         at = value.index(r.value, at) + len(r.value)
     assert at == len(value)
+
+
+def test_clustered_search_finds_all_neighbours(spark, tmp_path):
+    from quillon import queries as core
+
+    x = np.random.default_rng(2).normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    v = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    want = R.vector_top(v, "vec_id", "embedding", v.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
+    got = core.queries()["vec_clustered_two_stage"](spark, str(tmp_path))
+    pairs = lambda df: {(r.query_id, r.vec_id) for r in df.collect()}
+    assert len(pairs(want)) == 40 and pairs(got) == pairs(want)  # recall 1
+
+
+def test_bound_leaves_out_only_far_clusters(spark):
+    x = np.random.default_rng(3).normal(size=(120, 6)) * 0.02 + np.repeat(np.eye(6)[:4], 30, axis=0)
+    df = spark.createDataFrame([(i, v.tolist(), i // 30) for i, v in enumerate(x)], "i long, v array<double>, l int")
+    rows = lambda r: {(x.query_id, x.vec_id, x.rank) for x in r.collect()}
+    q = df.where("i % 10 = 0")
+    assert rows(R.two_stage(df, "i", "v", "l", q, "i", "v", 7, coarse=None)) == rows(R.vector_top(df, "i", "v", q, "i", "v", 7))
