@@ -251,12 +251,12 @@ def icc1(spark, d):
 
 @query()
 def cluster_intervals(spark, d):
-    return T.cluster_bootstrap(rows(spark, d), BY, "score", "group_id", "row_id", nboot=2000)
+    return T.cluster_bootstrap(rows(spark, d), BY, "score", "group_id", "row_id", nboot=10_000)
 
 
 @query()
 def interval_variances(spark, d):
-    c = T.cluster_bootstrap(rows(spark, d), ["dataset"], "score", "group_id", "row_id", nboot=2000)
+    c = T.cluster_bootstrap(rows(spark, d), ["dataset"], "score", "group_id", "row_id", nboot=10_000)
     return c.select("dataset", T.variance_from_interval(F.col("lo"), F.col("hi")).alias("variance"), T.interval_verdict(F.col("lo"), F.col("hi")).alias("verdict"))
 
 
@@ -278,22 +278,22 @@ def paired_arms(spark, d):
 
 @query()
 def paired_intervals(spark, d):
-    return T.paired_bootstrap(arms(spark, d), ["dataset"], "a", "b", "grp", "item_id", nboot=2000)
+    return T.paired_bootstrap(arms(spark, d), ["dataset"], "a", "b", "grp", "item_id", nboot=10_000)
 
 
 @query()
 def max_t_adjusted(spark, d):
-    return T.max_t(arms(spark, d).withColumn("family", F.lit("all")), "family", "dataset", "a", "b", "grp", nboot=500)
+    return T.max_t(arms(spark, d).withColumn("family", F.lit("all")), "family", "dataset", "a", "b", "grp", nboot=10_000)
 
 
 @query()
 def nested_interval(spark, d):
-    return T.nested_bootstrap(rows(spark, d), "dataset", "score", "group_id", "row_id", nboot=500)
+    return T.nested_bootstrap(rows(spark, d), "dataset", "score", "group_id", "row_id", nboot=2_000)
 
 
 @query()
 def index_intervals(spark, d):
-    return T.index_bootstrap(rows(spark, d), ["dataset"], "score", "group_id", "row_id", nboot=200)
+    return T.index_bootstrap(rows(spark, d), ["dataset"], "score", "group_id", "row_id", nboot=2_000)
 
 
 # -- selectors, windows, rendering -----------------------------------------------------------------------------------

@@ -258,3 +258,25 @@ def test_bound_leaves_out_only_far_clusters(spark):
     rows = lambda r: {(x.query_id, x.vec_id, x.rank) for x in r.collect()}
     q = df.where("i % 10 = 0")
     assert rows(R.two_stage(df, "i", "v", "l", q, "i", "v", 7, coarse=None)) == rows(R.vector_top(df, "i", "v", q, "i", "v", 7))
+
+
+@pytest.mark.parametrize("name,operator,n", [
+    ("cluster_intervals", "cluster_bootstrap", 10_000), ("interval_variances", "cluster_bootstrap", 10_000), ("paired_intervals", "paired_bootstrap", 10_000),
+    ("max_t_adjusted", "max_t", 10_000), ("nested_interval", "nested_bootstrap", 2_000), ("index_intervals", "index_bootstrap", 2_000),
+])
+def test_bootstraps_draw_all_replicates(spark, data, monkeypatch, name, operator, n):
+    import inspect
+
+    from quillon import queries as core
+
+    real, seen = getattr(T, operator), []
+
+    def record(*args, **kwargs):
+        bound = inspect.signature(real).bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments["nboot"])
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(T, operator, record)
+    core.queries()[name](spark, data)
+    assert seen == [n]
