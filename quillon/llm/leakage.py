@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
 
@@ -24,6 +25,10 @@ from quillon.plans.runtime import bounded_rows
 MAX_ITEMS = 50_000
 #: Characters of text embedded at a time in a worker.
 SLICE_CHARS = 1_000_000
+#: Share of windows at the most edits that the repeats are to find; positions sampled in a repeat; repeats at most.
+RECALL = 0.95
+NEAR_SAMPLED = 5
+MAX_REPEATS = 1_000
 
 WORDS = re.compile(r"[^\W_]+")
 TAG = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>")
@@ -45,32 +50,61 @@ _INVISIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x80, 0x1
 
 
 class Embedding:
-    """The random walk and the sampled positions; the same seed gives the same keys everywhere."""
+    """A random walk of its own and sampled positions for each repeat; the same seed gives the same keys everywhere."""
 
-    def __init__(self, width: int, repeats: int = 2, sampled: int = 10, seed: int = 5):
+    def __init__(self, width: int, repeats: int = 1, sampled: int = 10, seed: int = 5):
         draw = np.random.default_rng(seed + width)
-        self.width, self.steps = width, 3 * width
-        self.odd = draw.integers(1, 1 << 62, self.steps, dtype=np.uint64) | np.uint64(1)
-        # the walk reaches the window's end at about step 2 * width: what lies beyond is padding
-        self.samples = [np.sort(draw.choice(2 * width, min(sampled, 2 * width), replace=False)) for _ in range(repeats)]
-        self.mix = draw.integers(1, 1 << 62, self.steps, dtype=np.uint64) | np.uint64(1)
-
-    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """One key per repeat for the windows of width symbols at starts."""
-        at = np.zeros(len(starts), dtype=np.int64)
-        out = [np.zeros(len(starts), dtype=np.uint64) for _ in self.samples]
-        taken = [set(s.tolist()) for s in self.samples]
-        last = max(int(s[-1]) for s in self.samples)
+        self.width, self.repeats = width, []
+        for _ in range(repeats):
+            odd = draw.integers(1, 1 << 62, 2 * width, dtype=np.uint64) | np.uint64(1)
+            mix = draw.integers(1, 1 << 62, 2 * width, dtype=np.uint64) | np.uint64(1)
+            # the walk reaches the window's end at about step 2 * width: what lies beyond is padding
+            self.repeats.append((odd, mix, frozenset(draw.choice(2 * width, min(sampled, 2 * width), replace=False).tolist())))
+
+    def keys(self, symbols: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+        """One key per repeat for the windows of width symbols at starts, a repeat at a time."""
         padded = np.concatenate([symbols, np.zeros(1, dtype=np.uint64)])
-        for j in range(last + 1):
-            inside = at < self.width
-            here = padded[np.where(inside, starts + at, len(symbols))]
-            walk = here * self.odd[j]
-            for o, t in zip(out, taken):
-                if j in t:
-                    o += (walk ^ (walk >> np.uint64(29))) * self.mix[j]
-            at += (walk >> np.uint64(40) & np.uint64(1)).astype(np.int64)
-        return out
+        for odd, mix, taken in self.repeats:
+            at, out = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.uint64)
+            for j in range(max(taken) + 1):
+                walk = padded[np.where(at < self.width, starts + at, len(symbols))] * odd[j]
+                if j in taken:
+                    out += (walk ^ (walk >> np.uint64(29))) * mix[j]
+                at += (walk >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+            yield out
+
+
+def repeats_for(width: int, most: int, recall: float = RECALL, pairs: int = 1_000, seed: int = 9) -> int:
+    """Repeats at which the share recall of random windows at most edits collides, each kind of edits by itself.
+
+    Kinds are most substitutions, and shifts by an insertion or a deletion (two edits of a window) with substitutions for
+    the rest. Raises where MAX_REPEATS don't reach the recall. Without edits equal windows always collide in the first.
+    """
+    if not most:
+        return 1
+    draw = np.random.default_rng(seed)
+    fresh = lambda n: draw.integers(1, 1 << 32, n, dtype=np.uint64) | np.uint64(1)
+    kinds = 1 if most < 2 else 3
+    windows, changed = [], []
+    for n in range(kinds * pairs):
+        w = fresh(width)
+        v, left = w.copy(), most
+        if n % kinds:
+            for _ in range(most // 2):
+                at = int(draw.integers(width))
+                v = np.insert(v, at, fresh(1))[:width] if n % kinds == 1 else np.append(np.delete(v, at), fresh(1))
+            left = most % 2
+        v[draw.choice(width, min(left, width), replace=False)] = fresh(min(left, width))
+        windows.append(w), changed.append(v)
+    starts = np.arange(len(windows), dtype=np.int64) * width
+    a, b = np.concatenate(windows), np.concatenate(changed)
+    embed = Embedding(width, MAX_REPEATS, NEAR_SAMPLED)
+    met = np.zeros(len(windows), dtype=bool)
+    for r, (x, y) in enumerate(zip(embed.keys(a, starts), embed.keys(b, starts)), 1):
+        met |= x == y
+        if all(met[k::kinds].mean() >= recall for k in range(kinds)):
+            return r
+    raise ValueError(f"{MAX_REPEATS} repeats don't reach a recall of {recall} at {most} edits of {width}")
 
 
 def edits(a: list, b: list, most: int) -> int:
@@ -91,8 +125,8 @@ def edits(a: list, b: list, most: int) -> int:
 class _Side:
     """Items of one kind (words, or letters) with their window keys."""
 
-    def __init__(self, width: int, items: list[tuple[int, list[str]]], most: int):
-        self.width, self.most, self.embed = width, most, Embedding(width)
+    def __init__(self, width: int, items: list[tuple[int, list[str]]], most: int, repeats: int):
+        self.width, self.most, self.embed = width, most, Embedding(width, repeats, NEAR_SAMPLED if most else 10)
         self.windows: list[tuple[int, tuple]] = []
         for item, symbols in items:
             self.windows += [(item, tuple(symbols[i : i + width])) for i in range(len(symbols) - width + 1)]
@@ -117,6 +151,7 @@ class _Side:
         n = len(symbols) - self.width + 1
         if n <= 0 or not self.windows:
             return found
+        tried: set[tuple[int, int]] = set()  # candidates of earlier repeats
         starts = np.flatnonzero(owner[:n] == owner[self.width - 1 :])
         for keys, bits, buckets in zip(self.embed.keys(symbols, starts), self.bits, self.buckets):
             for i in np.flatnonzero(bits[(keys >> np.uint64(40)).astype(np.int64) & 0x3FFFF]).tolist():
@@ -129,6 +164,9 @@ class _Side:
                         found.update((int(owner[at]), item, 0) for item in same)
                     elif self.most:
                         for k in near:
+                            if (at, k) in tried:
+                                continue
+                            tried.add((at, k))
                             item, w = self.windows[k]
                             d = edits(list(window), list(w), self.most)
                             if d <= self.most:
@@ -147,21 +185,21 @@ def find_leaks(
 ) -> DataFrame:
     """(holder_id, eval_id, edits): texts holding n_words consecutive words of an item's gold, or n_letters letters and digits.
 
-    With max_edits the windows may differ by so many edits (found with the recall of the sampled keys); edits is the
+    With max_edits the windows may differ by so many edits (found with a recall of RECALL, see repeats_for); edits is the
     smallest. Null and empty texts and golds, and golds shorter than a window, give no row; every repeated text gives its
     own. The items are collected (at most MAX_ITEMS); the texts are scanned once, whole, without a shuffle.
     """
     golds = bounded_rows(items.select(F.col(item_col).alias("i"), F.col(gold_col).alias("g"), F.col(lang_col).alias("l")).where("g is not null and i is not null"), MAX_ITEMS, "held-out items")
     by_words = [(r["i"], tokens(r["g"])) for r in golds if r["l"] not in letter_langs]
     by_letters = [(r["i"], list("".join(tokens(r["g"])))) for r in golds if r["l"] in letter_langs]
-    shared = texts.sparkSession.sparkContext.broadcast((by_words, by_letters))
+    shared = texts.sparkSession.sparkContext.broadcast((by_words, by_letters, repeats_for(n_words, max_edits), repeats_for(n_letters, max_edits) if by_letters else 1))
     type_id, type_item = texts.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        words_, letters_ = shared.value
-        sides = [_Side(n_words, words_, max_edits), _Side(n_letters, letters_, max_edits)]
+        words_, letters_, many_words, many_letters = shared.value
+        sides = [_Side(n_words, words_, max_edits, many_words), _Side(n_letters, letters_, max_edits, many_letters)]
         only_han = all(HAN.search("".join(w)) for _, w in sides[1].windows)
         known: dict[str, int] = {}
         for batch in batches:

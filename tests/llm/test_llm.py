@@ -242,6 +242,25 @@ def test_near_windows_are_found_with_high_recall(spark):
     assert got.count() >= 0.9 * len(docs)
 
 
+@pytest.mark.parametrize("change", ["two words", "insert", "delete"])
+def test_single_near_windows_are_found(spark, change):
+    """Texts that hold no window equal to one of their item's, and one window or two at two edits."""
+    draw = random.Random(4)
+    golds = [[f"w{draw.randint(0, 10**6)}" for _ in range(10)] for _ in range(200)]
+    docs = []
+    for i, g in enumerate(golds):
+        w, at = list(g), draw.randrange(1, 9)
+        if change == "two words":
+            for j in draw.sample(range(10), 2):
+                w[j] = "typo"
+        else:
+            w[at : at + (change == "delete")] = ["more"] if change == "insert" else []
+        docs.append((i, " ".join(["before", *w, "after"])))
+    items = spark.createDataFrame([(i, " ".join(g), "en") for i, g in enumerate(golds)], "eval_id long, gold string, lang string")
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, "doc_id", "text", max_edits=2).collect()
+    assert sum(r.holder_id == r.eval_id for r in got) >= 0.9 * len(docs)
+
+
 # -- 3 ---------------------------------------------------------------------------------------------------------------
 
 
