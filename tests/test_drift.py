@@ -119,14 +119,78 @@ def test_ingest_keeps_every_value(spark):
     assert json.loads(rows[4].rescued) == {"detail": "s"}
 
 
-def test_approved_renames_follow_chains(spark):
+def records(spark, files, **kw):
+    return {(r.stream_id, r.file_no): r for r in D.ingest(table(spark, files), **kw).collect()}
+
+
+def test_replay_follows_the_chain_of_its_stream(spark):
+    files = {(1, 1): [{"item_id": 1, "reply": "r"}], (1, 2): [{"item_id": 1, "response": "r"}], (1, 3): [{"item_id": 1, "hyp": "r"}], (2, 1): [{"item_id": 1, "hyp": "x"}]}
+    r = records(spark, files)
+    assert all(r[1, f].reply == "r" and r[1, f].rescued is None for f in (1, 2, 3))
+    assert r[2, 1].reply == "x"  # a stream without a history of the name, where the others agree
+
+
+def test_replay_goes_backwards(spark):
+    r = records(spark, {(1, 1): [{"item_id": 1, "answer": "r"}], (1, 2): [{"item_id": 1, "reply": "r"}]})
+    assert r[1, 1].reply == "r" and r[1, 1].rescued is None
+
+
+def test_contradicting_streams_keep_their_own_meaning(spark):
+    """out stands for the reply in some streams and for the prediction in others; a third kind of stream can't tell."""
     files = {}
-    for s in (1, 2):
+    for s in (1, 2, 3):
         files[s, 1] = [{"item_id": 1, "reply": f"r{s}"}]
-        files[s, 2] = [{"item_id": 1, "response": f"r{s}"}]
-        files[s, 3] = [{"item_id": 1, "hyp": f"r{s}"}]
-    approved = D.approve_renames(D.schema_changes(table(spark, files)))
-    assert approved == {"response": "reply", "hyp": "reply"}
+        files[s, 2] = [{"item_id": 1, "out": f"r{s}"}]
+    for s in (4, 5):
+        files[s, 1] = [{"item_id": 1, "detail": {"pred": f"p{s}"}}]
+        files[s, 2] = [{"item_id": 1, "out": f"p{s}"}]
+    files[6, 1] = [{"item_id": 1, "out": "?"}]
+    r = records(spark, files)
+    assert [(r[s, 2].reply, r[s, 2].pred) for s in range(1, 6)] == [("r1", None), ("r2", None), ("r3", None), (None, "p4"), (None, "p5")]
+    assert (r[6, 1].reply, r[6, 1].pred, json.loads(r[6, 1].rescued)) == (None, None, {"out": "?"})
+
+
+def test_name_taken_again_for_another_field(spark):
+    """In one stream out is the reply first, and the prediction after it was away."""
+    files = {
+        (1, 1): [{"item_id": 1, "reply": "r"}], (1, 2): [{"item_id": 1, "out": "r"}], (1, 3): [{"item_id": 1, "reply": "r", "detail": {"pred": "p"}}],
+        (1, 4): [{"item_id": 1, "reply": "r", "out": "p"}],
+    }
+    r = records(spark, files)
+    assert (r[1, 2].reply, r[1, 2].pred) == ("r", None) and (r[1, 4].reply, r[1, 4].pred) == ("r", "p")
+
+
+def test_new_fields_are_promoted(spark):
+    files = {(1, 1): [{"item_id": 1, "detail": {"lang": "en", "x": 2}}]}
+    assert records(spark, files)[1, 1].lang == "en"
+    assert json.loads(records(spark, files)[1, 1].rescued) == {"detail.x": 2}
+    r = records(spark, files, promoted=(("detail.x", "x", "bigint"),))[1, 1]
+    assert r.x == 2 and json.loads(r.rescued) == {"detail.lang": "en"}
+
+
+@pytest.mark.parametrize(
+    "value,to,want",
+    [("1_000", "double", None), ("nan", "double", None), ("1_0", "bigint", None), (" 1", "bigint", None), ("1e3", "double", 1000.0), ("12", "bigint", 12), ("2.0", "bigint", 2), ("2.5", "bigint", None),
+     ("١", "bigint", None), (["7"], "bigint", 7), (["a", "b"], "string", None), (True, "double", 1.0), (1, "boolean", True), ("TRUE", "boolean", True), (5, "string", "5"), (2**70, "bigint", None), (2**60 + 1, "double", None)],
+)
+def test_replay_casts(value, to, want):
+    assert D.replay_cast(value, to) == ((True, want) if want is not None else (False, None))
+
+
+def test_odd_characters_survive(spark):
+    r = records(spark, {(1, 1): ['{"item_id": "1", "reply": "\\ud800", "x\\u001fy": "\\u0000"}']})[1, 1]
+    assert r.reply is None and json.loads(r.rescued) == {"reply": "\ud800", "x\x1fy": "\0"}
+
+
+def test_values_are_equal_typed_and_rescued(spark):
+    """A typed field renamed to an unknown one or back: whole and fractional numbers, text and booleans."""
+    cases = [("score", "s2", 1), ("score", "s2", 0.1), ("s1", "score", 1e-7), ("s1", "score", 1e22), ("retries", "n", 3), ("cached", "c", True), ("r", "reply", 'x "y"'), ("reply", "r", "1.50")]
+    files, want = {}, set()
+    for s, (a, b, v) in enumerate(cases):
+        files |= {(s, 1): [{"item_id": 1, a: v}], (s, 2): [{"item_id": 1, b: v}]}
+        want.add((s, 2, "renamed", a, b))
+    files |= {(99, 1): [{"item_id": 1, "score": 1}], (99, 2): [{"item_id": 1, "x": 1.0}]}
+    assert changes(spark, files) == want | {(99, 2, "removed", "score", ""), (99, 2, "added", "", "x")}
 
 
 @pytest.mark.parametrize("value,want", [(7, "7"), ("ds#007", "7"), ("ds", None), (None, None), (True, None), ("12x", None), ("#0", "0")])
