@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from quillon.functions.text import norm, strip_spaces, tokens, transcript
+from quillon.functions.text import let, norm, strip_spaces, tokens, transcript
 
 # Refusal phrases.
 REFUSALS = (
@@ -19,23 +19,25 @@ LETTERS = "abcdefgh"
 
 
 def parse_choice(reply: Column, options: Column) -> Column:
-    """0-based option of a reply, or -1: a leading letter (up to eight options) or number, else the longest option it contains."""
-    t = F.lower(F.trim(reply))
-    letter = F.lit(LETTERS)
-    by_letter = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.least(F.size(options), F.lit(8)) - 1, F.lit(0))),
-        lambda i: (t == F.substr(letter, i + 1, F.lit(1)))
-        | F.array_contains(F.transform(F.array(*map(F.lit, ".): ")), lambda c: F.concat(F.substr(letter, i + 1, F.lit(1)), c)), F.substring(reply_start(reply), 1, 2)),
-    )
-    number = F.regexp_extract(t, r"^\s*(\d+)\b", 1).try_cast("int")
-    body = norm(reply)
-    held = F.filter(
-        F.transform(options, lambda o, i: F.struct((-F.length(norm(o))).alias("n"), i.alias("i"), norm(o).alias("o"))), lambda s: (s["o"] != "") & F.contains(body, s["o"])
-    )
-    contained = F.coalesce(F.try_element_at(F.array_sort(held), F.lit(1))["i"], F.lit(-1))
-    small = F.coalesce(F.try_element_at(by_letter, F.lit(1)), contained)
-    large = F.when(number.isNotNull() & (number < F.size(options)), number).otherwise(contained)
-    return F.when(F.size(options) == 0, F.lit(-1)).when(F.size(options) <= 8, small).otherwise(large).cast("int")
+    """0-based option of a reply, or -1: a leading letter (up to eight options) or number, else the longest option it contains.
+
+    A leading letter stands alone or before one of . ) : or a space; a leading number counts with more than eight options.
+    """
+    named = F.transform(options, lambda o, i: F.struct(norm(o).alias("o"), i.alias("i")))
+    parts = F.struct(F.lower(F.trim(reply)).alias("t"), F.substring(reply_start(reply), 1, 2).alias("start"), norm(reply).alias("body"), named.alias("named"))
+
+    def choose(p: Column) -> Column:
+        letter = F.instr(F.lit(LETTERS), F.substring(p["start"], 1, 1)) - 1
+        alone = (p["t"] == F.substring(p["start"], 1, 1)) | F.substring(p["start"], 2, 1).isin(".", ")", ":", " ")
+        lettered = (F.length(p["start"]) > 0) & (letter >= 0) & (letter < F.size(p["named"])) & alone
+        number = F.regexp_extract(p["t"], r"^\s*(\d+)\b", 1).try_cast("int")
+        held = F.transform(F.filter(p["named"], lambda s: (s["o"] != "") & F.contains(p["body"], s["o"])), lambda s: F.struct((-F.length(s["o"])).alias("n"), s["i"].alias("i")))
+        contained = F.coalesce(F.array_min(held)["i"], F.lit(-1))
+        few = F.when(lettered, letter).otherwise(contained)
+        many = F.when(number.isNotNull() & (number < F.size(p["named"])), number).otherwise(contained)
+        return F.when(F.size(p["named"]) == 0, F.lit(-1)).when(F.size(p["named"]) <= 8, few).otherwise(many).cast("int")
+
+    return F.when(reply.isNull() | options.isNull(), F.lit(None).cast("int")).otherwise(let(parts, choose))
 
 
 def reply_start(reply: Column) -> Column:
@@ -139,12 +141,16 @@ def tool_call(gold_name: Column, gold_args: Column, reply: Column) -> Column:
 
 def token_f1(a: Column, b: Column) -> Column:
     """F1 of the token bags of two texts; 1 for two empty ones, 0 where one is empty."""
-    x, y = tokens(norm(a)), tokens(norm(b))
-    common = F.aggregate(
-        F.array_distinct(x), F.lit(0),
-        lambda s, t: s + F.least(F.size(F.filter(x, lambda v: v == t)), F.size(F.filter(y, lambda v: v == t))),
-    )
-    return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * common / (F.size(x) + F.size(y)))
+
+    def f1(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        common = F.aggregate(
+            F.array_distinct(x), F.lit(0),
+            lambda s, t: s + F.least(F.size(F.filter(x, lambda v: v == t)), F.size(F.filter(y, lambda v: v == t))),
+        )
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * common / (F.size(x) + F.size(y)))
+
+    return let(F.struct(tokens(norm(a)).alias("x"), tokens(norm(b)).alias("y")), f1)
 
 
 def by_task(task: Column, gold: Column, reply: Column) -> Column:

@@ -24,6 +24,11 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def norm(text: Column, compose: bool = False) -> Column:
     """Lower case, letters, digits and spaces only, trimmed; with compose after NFKC."""
     base = nfkc(text) if compose else text

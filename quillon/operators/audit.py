@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import content_form, ngrams, norm, scrub, tokens
-from quillon.plans.runtime import bounded_rows
+from quillon.plans.runtime import bounded_rows, broadcast_if_small, cut
 
 #: Golds are held in the workers as one automaton; more raise an error.
 MAX_GOLDS = 1_000_000
@@ -61,14 +61,16 @@ def overlap_audit(found: DataFrame, golds: DataFrame, gold_id: str) -> DataFrame
 def ngram_overlap(entries: DataFrame, text: Column, golds: DataFrame, gold_id: str, gold: Column, n: int = 8) -> DataFrame:
     """(gold_id, n_grams, n_found, overlap): share of a gold's word n-grams that some entry holds.
 
-    The entries' grams meet the golds' few distinct grams in the scan stage where those are small, so that only matches
-    are shuffled. Golds without words have no row.
+    Words are projected before the grams are formed, so that a text is normalized once. The entries' grams meet the
+    golds' distinct grams in the scan stage where those are small by their written size, so that only matches are
+    shuffled. Golds without words have no row.
     """
-    g = golds.select(F.col(gold_id).alias("gold_id"), F.explode(F.array_distinct(ngrams(tokens(norm(gold)), n))).alias("gram"))
-    words = tokens(norm(text))
-    e = entries.select(F.explode(F.when(F.size(words) >= n, ngrams(words, n)).otherwise(F.array(F.array_join(words, " ")))).alias("gram"))
-    known = g.select("gram").distinct()
-    hit = e.join(F.broadcast(known) if known.count() <= MAX_GOLDS else known, "gram", "left_semi").distinct().withColumn("_h", F.lit(1))
+    words = golds.select(F.col(gold_id).alias("gold_id"), tokens(norm(gold)).alias("w"))
+    g = cut(words.select("gold_id", F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("gram")))
+    known = cut(g.select("gram").distinct())
+    w = entries.select(tokens(norm(text)).alias("w")).where(F.size("w") > 0)
+    e = w.select(F.explode(ngrams(F.col("w"), n)).alias("gram"))
+    hit = e.join(broadcast_if_small(known), "gram", "left_semi").distinct().withColumn("_h", F.lit(1))
     return g.join(hit, "gram", "left").groupBy("gold_id").agg(F.count("*").alias("n_grams"), F.count("_h").alias("n_found")).withColumn("overlap", F.round(F.col("n_found") / F.col("n_grams"), 3))
 
 

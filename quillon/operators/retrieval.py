@@ -34,20 +34,23 @@ def bm25(docs: DataFrame, doc_id: str, text: str, queries: DataFrame, query_id:
     """(query_id, doc_id, score) of all documents that share a term with a query, by Okapi BM25.
 
     Terms are lower-case tokens between white space; a term repeated in a query counts as often; null texts are empty.
-    The documents are tokenized once; only occurrences of query terms are exploded further, after a join with the
-    distinct query terms, and counted map-side before the shuffle. Postings meet the queries by term.
+    The documents are tokenized once, in a pass that counts the occurrences of query terms and gives each document a row
+    without a term for the totals. The query side goes to the postings where it is small by its written size, so a
+    frequent term is no hot key, and a document's scores are summed before the shuffle.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     q = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.coalesce(F.col(query_text), F.lit("")))).alias("term"))
-    q = q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))
-    terms = broadcast_if_small(q.select("term").distinct())
-    tf = d.select("doc_id", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode("t").alias("term")).join(terms, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f"))
-    tf = cut(tf)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    q = cut(q.groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
+    terms = broadcast_if_small(q.select("term").distinct().withColumn("wanted", F.lit(True)))
+    one = d.select("doc_id", F.size("t").alias("dl"), F.explode_outer(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
+    tf = cut(one.join(terms, "term", "left").where("wanted or term is null").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("f")))
+    stats = tf.where("term is null").agg(F.sum("f").alias("n_docs"), (F.sum(F.col("dl") * F.col("f")) / F.sum("f")).alias("avgdl"))
+    df = tf.where("term is not null").groupBy("term").agg(F.sum(F.lit(1)).alias("df"))
     weight = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = weight * (F.col("f") * (k1 + 1)) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
-    scored = tf.join(df, "term").join(q, "term").crossJoin(F.broadcast(stats))  # one row
+    weighted = cut(q.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "qtf", weight.alias("idf"), "avgdl"))  # stats: one row
+    dl = F.greatest(F.col("dl"), F.lit(1))
+    part = F.col("idf") * (F.col("f") * (k1 + 1)) / (F.col("f") + k1 * (1 - b + b * dl / F.col("avgdl"))) * F.col("qtf")
+    scored = tf.where("term is not null").join(broadcast_if_small(weighted), "term")
     return scored.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
