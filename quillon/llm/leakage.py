@@ -3,7 +3,8 @@
 Every item-sized window of every text (a run of words, or of letters and digits for unsegmented scripts) is embedded by
 the CGK random walk, which maps edit distance to Hamming distance. Positions of the embedded string are sampled a few
 times into LSH keys; windows that share a key with a window of an item are compared with it exactly, by edit distance.
-A window equal to an item's has the same walk and therefore always collides, so equal windows are found surely.
+A window equal to an item's has the same walk and therefore always collides, so equal windows are found surely; a search
+for equal windows is the same search with no edits allowed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 from zlib import crc32
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans.runtime import bounded_rows
 
-#: The held-out side is collected; more rows raise an error instead of being dropped.
+#: Held-out items that are sent out together; more are searched in blocks of about so many, each with a scan of its own.
 MAX_ITEMS = 50_000
 #: Characters of text embedded at a time in a worker.
 SLICE_CHARS = 1_000_000
@@ -107,7 +109,7 @@ def repeats_for(width: int, most: int, recall: float = RECALL, pairs: int = 1_00
     raise ValueError(f"{MAX_REPEATS} repeats don't reach a recall of {recall} at {most} edits of {width}")
 
 
-def edits(a: list, b: list, most: int) -> int:
+def edits(a, b, most: int) -> int:
     """Edit distance, or most + 1 where it is larger; banded."""
     if a == b:
         return 0
@@ -123,17 +125,16 @@ def edits(a: list, b: list, most: int) -> int:
 
 
 class _Side:
-    """Items of one kind (words, or letters) with their window keys."""
+    """Items of one kind (words, or letters) with their window keys; a window that several items hold is kept once."""
 
     def __init__(self, width: int, items: list[tuple[int, list[str]]], most: int, repeats: int):
         self.width, self.most, self.embed = width, most, Embedding(width, repeats, NEAR_SAMPLED if most else 10)
-        self.windows: list[tuple[int, tuple]] = []
+        owners: dict[tuple, set] = {}
         for item, symbols in items:
-            self.windows += [(item, tuple(symbols[i : i + width])) for i in range(len(symbols) - width + 1)]
-        self.exact: dict[tuple, list[int]] = {}
-        for item, w in self.windows:
-            self.exact.setdefault(w, []).append(item)
-        flat = np.array([h for _, w in self.windows for h in map(symbol, w)], dtype=np.uint64)
+            for i in range(len(symbols) - width + 1):
+                owners.setdefault(tuple(symbols[i : i + width]), set()).add(item)
+        self.windows: list[tuple[tuple, list]] = [(w, sorted(own)) for w, own in owners.items()]
+        flat = np.array([h for w, _ in self.windows for h in map(symbol, w)], dtype=np.uint64)
         self.buckets: list[dict[int, list[int]]] = []
         self.bits: list[np.ndarray] = []
         for keys in self.embed.keys(flat, np.arange(len(self.windows), dtype=np.int64) * width) if self.windows else []:
@@ -146,7 +147,7 @@ class _Side:
             self.bits.append(bits)
 
     def find(self, symbols: np.ndarray, owner: np.ndarray, words) -> set[tuple[int, int, int]]:
-        """(text, item, edits) of the windows that match; words gives the symbols' texts of a window."""
+        """(text, item, edits) of the windows that collide and are within the edits; words gives a window's symbols."""
         found: set[tuple[int, int, int]] = set()
         n = len(symbols) - self.width + 1
         if n <= 0 or not self.windows:
@@ -156,24 +157,33 @@ class _Side:
         for keys, bits, buckets in zip(self.embed.keys(symbols, starts), self.bits, self.buckets):
             for i in np.flatnonzero(bits[(keys >> np.uint64(40)).astype(np.int64) & 0x3FFFF]).tolist():
                 near = buckets.get(int(keys[i]))
-                if near:
-                    at = int(starts[i])
-                    window = tuple(words(at, at + self.width))
-                    same = self.exact.get(window)
-                    if same:
-                        found.update((int(owner[at]), item, 0) for item in same)
-                    elif self.most:
-                        for k in near:
-                            if (at, k) in tried:
-                                continue
-                            tried.add((at, k))
-                            item, w = self.windows[k]
-                            d = edits(list(window), list(w), self.most)
-                            if d <= self.most:
-                                found.add((int(owner[at]), item, d))
+                if not near:
+                    continue
+                at = int(starts[i])
+                window = tuple(words(at, at + self.width))
+                for k in near:
+                    if len(self.buckets) > 1:
+                        if (at, k) in tried:
+                            continue
+                        tried.add((at, k))
+                    w, items = self.windows[k]
+                    d = edits(window, w, self.most)
+                    if d <= self.most:
+                        found.update((int(owner[at]), item, d) for item in items)
         return found
 
 
+_BUILT: dict[str, list[_Side]] = {}
+
+
+def _sides(name: str, make) -> list[_Side]:
+    """The index of a search, built once in a worker process and kept for its later tasks; the last search's only."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = make()
+    return _BUILT[name]
+
+
 def symbol(token: str) -> int:
     """A stable non-zero number of a word or letter."""
     return (crc32(token.encode("utf-8", "surrogatepass")) << 1) | 1
@@ -187,20 +197,31 @@ def find_leaks(
 
     With max_edits the windows may differ by so many edits (found with a recall of RECALL, see repeats_for); edits is the
     smallest. Null and empty texts and golds, and golds shorter than a window, give no row; every repeated text gives its
-    own. The items are collected (at most MAX_ITEMS); the texts are scanned once, whole, without a shuffle.
+    own. The items are a stated set, sent out in blocks of at most about MAX_ITEMS; the texts are scanned once a block,
+    whole, without a shuffle.
     """
-    golds = bounded_rows(items.select(F.col(item_col).alias("i"), F.col(gold_col).alias("g"), F.col(lang_col).alias("l")).where("g is not null and i is not null"), MAX_ITEMS, "held-out items")
+    have = items.select(F.col(item_col).alias("i"), F.col(gold_col).alias("g"), F.col(lang_col).alias("l")).where("g is not null and i is not null")
+    blocks = -(-have.count() // MAX_ITEMS) or 1
+    if blocks > 1:
+        own = lambda b: items.where(F.pmod(F.xxhash64(item_col), F.lit(blocks * 2)) == b)  # noqa: E731  # half as large as may be: hashes spread unevenly
+        parts = [find_leaks(texts, own(b), id_col, text_col, item_col, gold_col, lang_col, n_words, n_letters, letter_langs, max_edits) for b in range(blocks * 2)]
+        return reduce(DataFrame.union, parts)
+    golds = bounded_rows(have, MAX_ITEMS, "held-out items")
     by_words = [(r["i"], tokens(r["g"])) for r in golds if r["l"] not in letter_langs]
     by_letters = [(r["i"], list("".join(tokens(r["g"])))) for r in golds if r["l"] in letter_langs]
     shared = texts.sparkSession.sparkContext.broadcast((by_words, by_letters, repeats_for(n_words, max_edits), repeats_for(n_letters, max_edits) if by_letters else 1))
+    name = uuid.uuid4().hex
     type_id, type_item = texts.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
-        words_, letters_, many_words, many_letters = shared.value
-        sides = [_Side(n_words, words_, max_edits, many_words), _Side(n_letters, letters_, max_edits, many_letters)]
-        only_han = all(HAN.search("".join(w)) for _, w in sides[1].windows)
+        def make():
+            words_, letters_, many_words, many_letters = shared.value
+            return [_Side(n_words, words_, max_edits, many_words), _Side(n_letters, letters_, max_edits, many_letters)]
+
+        sides = _sides(name, make)
+        only_han = all(HAN.search("".join(w)) for w, _ in sides[1].windows)
         known: dict[str, int] = {}
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -218,9 +239,11 @@ def find_leaks(
                         own = tokens(t)
                         words += own
                         word_owner += [at] * len(own)
-                        if not only_han or not t.isascii() and HAN.search(t):
-                            letters.append("".join(own))
-                            letter_owner.append(at)
+                        if sides[1].windows and (not only_han or not t.isascii() or "&" in t):  # entities may write signs
+                            run_on = "".join(own)
+                            if not only_han or HAN.search(run_on):
+                                letters.append(run_on)
+                                letter_owner.append(at)
                     at += 1
                 if words and sides[0].windows:
                     if len(known) > 400_000:

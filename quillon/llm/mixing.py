@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.encode import count_tokens
-from quillon.plans.runtime import bounded_rows, cut
+from quillon.plans.runtime import bounded_rows, broadcast_if_small, cut
 
 HASH_BINS = 2048
 #: Bounds of what the driver holds; more raises an error instead of dropping rows.
@@ -42,10 +42,11 @@ def rake(tokens: np.ndarray, axes: list[np.ndarray], targets: list[np.ndarray],
 def fit_cells(cells: list, targets: dict, total_tokens: float | None = None) -> tuple[dict, float]:
     """Weight of each (source, lang, topic) cell and the token budget.
 
-    Shares are taken over the listed sources that have tokens. Without total_tokens the budget is the largest at which
-    no source needs more than its cap; a given budget leaves a capped source short, which the report shows.
+    Shares are taken over the listed sources that have tokens and may be taken. The budget is total_tokens, or as many
+    tokens as these sources have: only the caps limit what is used. A source whose cap doesn't reach its share of the
+    budget gives all it may and falls short, which the report shows.
     """
-    cells = [c for c in cells if c["source"] in targets and c["tokens"] > 0 and (targets[c["source"]][0] or 0) > 0]
+    cells = [c for c in cells if c["source"] in targets and c["tokens"] > 0 and (targets[c["source"]][0] or 0) > 0 and (targets[c["source"]][1] or 0) > 0]
     if not cells:
         return {}, 0.0
     cells.sort(key=lambda c: (c["source"], str(c["lang"]), str(c["topic"])))  # the same sums in every layout
@@ -57,8 +58,8 @@ def fit_cells(cells: list, targets: dict, total_tokens: float | None = None) ->
     have = np.bincount(src, weights=tok)
     share = np.array([targets[n][0] for n in names], dtype=float)
     share /= share.sum()
-    caps = np.array([max(0, targets[n][1] or 0) for n in names], dtype=float)
-    budget = float(np.min(caps * have / share)) if total_tokens is None else float(total_tokens)
+    caps = np.array([targets[n][1] for n in names], dtype=float)
+    budget = float(tok.sum()) if total_tokens is None else float(total_tokens)
     want = np.minimum(share * budget, caps * have)
     total = want.sum()
     mass = rake(tok, [src, lang, topic], [want, np.bincount(lang, weights=tok) / tok.sum() * total, np.bincount(topic, weights=tok) / tok.sum() * total])
@@ -76,6 +77,27 @@ def fit_cells(cells: list, targets: dict, total_tokens: float | None = None) ->
     return {(c["source"], c["lang"], c["topic"]): float(w) for c, w in zip(cells, weight)}, budget
 
 
+def key_limits(bins: list) -> list[tuple[str, float]]:
+    """(source, limit): the sampling key up to which a source's fractional takes add up to the tokens wanted.
+
+    bins: rows (source, bin, tokens, wanted) of the histogram of keys. The bins are sorted once, for all sources.
+    """
+    out: list[tuple[str, float]] = []
+    per: dict[str, list] = {}
+    for b in bins:
+        per.setdefault(b["source"], []).append(b)
+    for s, own in sorted(per.items()):
+        wanted = sum(b["wanted"] for b in own)
+        got, limit = 0.0, 0.0
+        for b in sorted(own, key=lambda b: b["bin"]):
+            if got + b["tokens"] > wanted:
+                limit = (b["bin"] + (wanted - got) / b["tokens"]) / (HASH_BINS // 4)
+                break
+            got, limit = got + b["tokens"], (b["bin"] + 1) / (HASH_BINS // 4)
+        out.append((s, float(limit)))
+    return out
+
+
 def mix_sources(
     docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, id_col: str = "doc_id", text_col: str = "text",
     source_col: str = "source", lang_col: str = "lang", topic_col: str = "doc_kind", salt: str = "mix-1", tokenizer: str = "byte_bpe_50k",
@@ -83,7 +105,8 @@ def mix_sources(
     """(doc_id, source, lang, topic, n_tokens, weight, repeats): every document taken, with how often it is repeated.
 
     Sources that are not listed, null sources, and documents without tokens are left out; a listed source without
-    documents contributes nothing and its share goes to the others in proportion. repeats never exceeds max_repeats.
+    documents contributes nothing and its share goes to the others in proportion, as does that of a source whose
+    max_repeats is null or below 1, which may not be taken at all. repeats never exceeds max_repeats.
     Of repeated target rows of a source the largest share counts. The same ids are chosen in every run and layout.
     """
     spark = docs.sparkSession
@@ -115,18 +138,7 @@ def mix_sources(
         d.where("key is not null").groupBy("source", bin_.alias("bin")).agg(F.sum("n_tokens").alias("tokens"), F.sum(F.col("part") * F.col("n_tokens")).alias("wanted")),
         MAX_BINS, "mix bins",
     )
-    limits = []
-    for s in {b["source"] for b in bins}:
-        own = sorted((b["bin"], b["tokens"]) for b in bins if b["source"] == s)
-        wanted = sum(b["wanted"] for b in bins if b["source"] == s)
-        got, limit = 0.0, 0.0
-        for i, tokens in own:
-            if got + tokens > wanted:
-                limit = (i + (wanted - got) / tokens) / (HASH_BINS // 4)
-                break
-            got, limit = got + tokens, (i + 1) / (HASH_BINS // 4)
-        limits.append((s, float(limit)))
-    lim = spark.createDataFrame(limits or [], "source string, limit double")
+    lim = spark.createDataFrame(key_limits(bins) or [], "source string, limit double")
     return (
         d.join(F.broadcast(lim), "source", "left")
         .withColumn("repeats", F.col("whole") + F.when(F.col("key") < F.col("limit"), 1).otherwise(0))
@@ -135,15 +147,36 @@ def mix_sources(
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, n_docs, n_taken, tokens, actual_share): a row per listed source, 0 where nothing was taken."""
+    """(source, target_share, max_repeats, n_docs, n_taken, tokens, actual_share, share_gap): a row per listed source, 0
+    where nothing was taken; share_gap is actual less target, below 0 for a source its cap keeps short."""
     got = mixed.groupBy("source").agg(
         F.count("*").alias("n_docs"), F.sum("repeats").alias("n_taken"), F.sum(F.col("n_tokens").cast("long") * F.col("repeats")).alias("tokens")
     )
+    got = cut(got)  # a row per source, read for the total too
     every = got.agg(F.sum("tokens").alias("all_tokens"))
+    share = F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0))
     return (
         targets.select("source", "target_share", "max_repeats").join(got, "source", "left").crossJoin(F.broadcast(every))  # one row
         .select(
             "source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_taken", "tokens")),
-            F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+            share.alias("actual_share"), (share - F.col("target_share")).alias("share_gap"),
         )
     )
+
+
+def mix_marginals(mixed: DataFrame) -> DataFrame:
+    """(axis, value, tokens, actual_share): what the mix holds of each language and topic; null is a value."""
+    pair = lambda axis: F.struct(F.lit(axis).alias("axis"), F.col(axis).alias("value"))
+    long = mixed.select(F.explode(F.array(pair("lang"), pair("topic"))).alias("a"), (F.col("n_tokens").cast("long") * F.col("repeats")).alias("t"))
+    got = cut(long.groupBy("a.axis", "a.value").agg(F.sum("t").alias("tokens")))
+    every = got.groupBy("axis").agg(F.sum("tokens").alias("all"))
+    return got.join(F.broadcast(every), "axis").select("axis", "value", "tokens", (F.col("tokens") / F.col("all")).alias("actual_share"))  # two rows
+
+
+def mix_limits(mixed: DataFrame, docs: DataFrame, targets: DataFrame, text_col: str = "text") -> DataFrame:
+    """(source, n_texts, n_above_cap): the listed sources' documents with a text, and how many were taken too often."""
+    t = targets.groupBy("source").agg(F.max("max_repeats").alias("cap"))
+    n = docs.where(F.col(text_col) != "").groupBy("source").agg(F.count("*").alias("n_texts"))
+    above = mixed.join(broadcast_if_small(t), "source").where(F.col("cap").isNull() | (F.col("repeats") > F.col("cap"))).groupBy("source").agg(F.count("*").alias("n_above_cap"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return t.join(n, "source", "left").join(above, "source", "left").select("source", zero("n_texts"), zero("n_above_cap"))

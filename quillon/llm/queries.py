@@ -107,12 +107,20 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_marginals(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_marginals(p9_mix(spark, d))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_limits(p9_mix(spark, d), table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(table(spark, d, "documents"), limit=256, overlap=32)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -127,5 +135,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT dataset, item_id, count(*) AS n_rows, {unit} AS u FROM result_items
             WHERE dataset IS NOT NULL AND item_id IS NOT NULL AND {unit} < 0.1 GROUP BY dataset, item_id""",
         "p4_rows": f"SELECT row_id, dataset, item_id FROM result_items WHERE {unit} < 0.1",
+        "p9_limits": """
+            SELECT t.source, count(d.doc_id) AS n_texts, 0::BIGINT AS n_above_cap FROM mix_targets t
+            LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY t.source""",
         "p8_round_trip": "SELECT true AS equal, count(*) AS n FROM documents",
     }

@@ -113,16 +113,33 @@ def mix_docs(spark, n=3000):
 def test_mix_meets_targets(spark):
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.2, 2), ("small", 0.2, 4), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
     docs = mix_docs(spark)
-    mixed = mixing.mix_sources(docs, targets).cache()
+    have = encode.count_tokens(docs.where("source in ('big', 'mid', 'small')")).agg(F.sum("n_tokens")).first()[0]
+    mixed = mixing.mix_sources(docs, targets, total_tokens=have / 2).cache()
     report = {r.source: r for r in mixing.mix_report(mixed, targets).collect()}
     for s, share in (("big", 5 / 9), ("mid", 2 / 9), ("small", 2 / 9)):
         assert abs(report[s].actual_share - share) < 0.02
-    assert report["absent"].tokens == 0
+    assert report["absent"].tokens == 0 and abs(report["absent"].share_gap + 0.1) < 1e-9
+    assert abs(sum(r.tokens for r in report.values()) - have / 2) < 0.02 * have
     assert mixed.groupBy("source").agg(F.max("repeats").alias("m")).where("source = 'small'").first().m <= 4
-    again = mixing.mix_sources(docs.repartition(7), targets)
+    again = mixing.mix_sources(docs.repartition(7), targets, total_tokens=have / 2)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mixed.collect()))
 
 
+def test_only_caps_limit_the_mix(spark):
+    """By default as many tokens as there are: a scarce source gives all it may and falls short, the others don't shrink."""
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.2, 2), ("small", 0.2, 4), ("none", 0.1, None)], "source string, target_share double, max_repeats int")
+    docs = mix_docs(spark)
+    mixed = mixing.mix_sources(docs, targets).cache()
+    small = docs.where("source = 'small'").count()
+    got = {r.source: r for r in mixing.mix_report(mixed, targets).collect()}
+    assert (got["small"].n_docs, got["small"].n_taken) == (small, 4 * small) and got["small"].share_gap < 0
+    assert abs(got["big"].tokens / got["mid"].tokens - 2.5) < 0.1
+    limits = mixing.mix_limits(mixed, docs, targets).collect()
+    assert all(r.n_above_cap == 0 for r in limits) and {r.source for r in limits} == {"big", "mid", "small", "none"}
+    sides = mixing.mix_marginals(mixed).groupBy("axis").agg(F.sum("actual_share").alias("s")).collect()
+    assert len(sides) == 2 and all(abs(r.s - 1) < 1e-9 for r in sides)
+
+
 def test_mix_keeps_language_shares(spark):
     targets = spark.createDataFrame([("big", 0.7, 1), ("mid", 0.3, 3)], "source string, target_share double, max_repeats int")
     docs = mix_docs(spark)
@@ -229,36 +246,56 @@ def test_leak_forms(spark):
     assert leakage.find_leaks(docs.limit(0), items, "doc_id", "text").count() == 0 and leakage.find_leaks(docs, items.limit(0), "doc_id", "text").count() == 0
 
 
-def test_near_windows_are_found_with_high_recall(spark):
-    draw = random.Random(3)
-    gold = " ".join(f"w{draw.randint(0, 10**6)}" for _ in range(40))
-    items = spark.createDataFrame([(1, gold, "en")], "eval_id long, gold string, lang string")
-    docs = []
-    for i in range(60):
-        w = gold.split()
-        w[draw.randrange(8, 32, 1)] = "typo"
-        docs.append((i, " ".join(w[5:35])))
-    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, "doc_id", "text", max_edits=1)
-    assert got.count() >= 0.9 * len(docs)
-
-
-@pytest.mark.parametrize("change", ["two words", "insert", "delete"])
-def test_single_near_windows_are_found(spark, change):
-    """Texts that hold no window equal to one of their item's, and one window or two at two edits."""
+def changed(draw, w, change):
+    """A window with so many substitutions, or one symbol inserted or deleted, not at its ends."""
+    w = list(w)
+    if change in (1, 2):
+        for j in draw.sample(range(len(w)), change):
+            w[j] = "龙" if len(w[j]) == 1 else "typo"
+    else:
+        at = draw.randrange(1, len(w) - 1)
+        w[at : at + (change == "delete")] = ["龙" if len(w[0]) == 1 else "more"] if change == "insert" else []
+    return w
+
+
+@pytest.mark.parametrize("change", [1, 2, "insert", "delete"])
+@pytest.mark.parametrize("width", [10, 20])
+def test_recall_of_windows_that_hold_no_equal_one(width, change):
+    """No text holds a window equal to one of its item's; texts that begin and end with the window have a few near ones."""
     draw = random.Random(4)
-    golds = [[f"w{draw.randint(0, 10**6)}" for _ in range(10)] for _ in range(200)]
-    docs = []
+    most = 1 if change == 1 else 2
+    symbols = (lambda: f"w{draw.randint(0, 10**6)}") if width == 10 else (lambda: chr(0x4E00 + draw.randrange(3000)))
+    golds = [[symbols() for _ in range(width)] for _ in range(400)]
+    side = leakage._Side(width, list(enumerate(golds)), most, leakage.repeats_for(width, most))
+    text, owner = [], []
     for i, g in enumerate(golds):
-        w, at = list(g), draw.randrange(1, 9)
-        if change == "two words":
-            for j in draw.sample(range(10), 2):
-                w[j] = "typo"
-        else:
-            w[at : at + (change == "delete")] = ["more"] if change == "insert" else []
-        docs.append((i, " ".join(["before", *w, "after"])))
+        w = ["0", *changed(draw, g, change), "1"]
+        text += w
+        owner += [i] * len(w)
+    found = side.find(leakage.np.array([leakage.symbol(x) for x in text], dtype=leakage.np.uint64), leakage.np.array(owner), lambda i, j: text[i:j])
+    assert all(0 < d <= most for _, _, d in found)
+    assert sum(i == j for i, j in {(i, j) for i, j, _ in found}) >= 0.95 * len(golds)
+
+
+def test_near_leaks_through_the_query(spark):
+    draw = random.Random(3)
+    golds = [[f"w{draw.randint(0, 10**6)}" for _ in range(10)] for _ in range(100)]
+    docs = [(i, " ".join(["before", *changed(draw, g, 2), "after"])) for i, g in enumerate(golds)]
     items = spark.createDataFrame([(i, " ".join(g), "en") for i, g in enumerate(golds)], "eval_id long, gold string, lang string")
-    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, "doc_id", "text", max_edits=2).collect()
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    got = leakage.find_leaks(texts, items, "doc_id", "text", max_edits=2).collect()
     assert sum(r.holder_id == r.eval_id for r in got) >= 0.9 * len(docs)
+    assert leakage.find_leaks(texts, items, "doc_id", "text").count() == 0
+
+
+def test_leaks_in_entities_and_blocks(spark, monkeypatch):
+    zh = "传说梅查尧的渔夫泽格梅在雾里数到40声锣响随后尧叶泽的小船载着829筐梨"
+    items = spark.createDataFrame([(i, g, "zh") for i, g in enumerate([zh, zh[::-1], zh[3:] + zh[:3], None])], "eval_id long, gold string, lang string")
+    docs = spark.createDataFrame([(1, "".join(f"&#{ord(c)};" for c in zh)), (2, "see &amp; " + "".join(f"&#x{ord(c):x};" for c in zh[::-1])), (3, "&" * 40)], "doc_id long, text string")
+    whole = sorted(map(tuple, leakage.find_leaks(docs, items, "doc_id", "text").collect()))
+    assert {(1, 0), (2, 1)} <= {r[:2] for r in whole} and 3 not in {r[0] for r in whole}
+    monkeypatch.setattr(leakage, "MAX_ITEMS", 2)
+    assert sorted(map(tuple, leakage.find_leaks(docs, items, "doc_id", "text").collect())) == whole
 
 
 # -- 3 ---------------------------------------------------------------------------------------------------------------
