@@ -48,6 +48,23 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.tied_pairs(table(spark, d, "result_items"), ITEM, "group_id")
 
 
+def p3_forest(spark: SparkSession, d: str) -> DataFrame:
+    return splits.spanning_forest(splits.ties(table(spark, d, "result_items"), ITEM, "group_id"))
+
+
+def p3_units(spark: SparkSession, d: str) -> DataFrame:
+    return splits.units(table(spark, d, "result_items"), ITEM, "group_id")
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """How many items, groups and tied units lie in more than one split."""
+    s = p3_splits(spark, d)
+    g = table(spark, d, "result_items").where("group_id is not null").select(*ITEM, "group_id").distinct().join(s, ITEM)
+    torn = lambda df, by: df.groupBy(*by).agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("torn"), F.count("*").alias("n"))
+    parts = [torn(s, ITEM).withColumn("what", F.lit("items")), torn(g, ["group_id"]).withColumn("what", F.lit("groups"))]
+    return parts[0].union(parts[1]).select("what", "n", "torn")
+
+
 def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(table(spark, d, "result_items"), ITEM, "group_id")
 
@@ -120,7 +137,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_splits, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_forest, p3_units, p3_splits, p3_kept, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -131,6 +148,14 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM m x JOIN m y USING (dataset, item_id) WHERE x.g <> y.g),
             r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
             SELECT DISTINCT a AS group_a, b AS group_b FROM r WHERE a < b""",
+        "p3_units": """
+            WITH RECURSIVE m AS (SELECT DISTINCT dataset, item_id, group_id AS g FROM result_items WHERE group_id IS NOT NULL),
+            e AS (SELECT DISTINCT x.g AS a, y.g AS b FROM m x JOIN m y USING (dataset, item_id) WHERE x.g <> y.g),
+            r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+            SELECT a AS group_id, min(b) AS root, count(*) AS n_groups FROM (SELECT a, b FROM r UNION SELECT a, a FROM e) GROUP BY a""",
+        "p3_kept": """
+            SELECT 'items' AS what, count(*) AS n, 0::BIGINT AS torn FROM (SELECT DISTINCT dataset, item_id FROM result_items WHERE dataset IS NOT NULL AND item_id IS NOT NULL)
+            UNION ALL SELECT 'groups', count(DISTINCT group_id), 0 FROM result_items WHERE dataset IS NOT NULL AND item_id IS NOT NULL""",
         "p4_sample": f"""
             SELECT dataset, item_id, count(*) AS n_rows, {unit} AS u FROM result_items
             WHERE dataset IS NOT NULL AND item_id IS NOT NULL AND {unit} < 0.1 GROUP BY dataset, item_id""",

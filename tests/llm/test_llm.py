@@ -316,8 +316,9 @@ def test_forest_spans_the_components(spark, seed, n, m):
     for u, v in edges:
         if u is not None and u != v:
             parent[find(u)] = find(v)
-    labels, forest = splits.spanning_forest(spark.createDataFrame(edges, "u string, v string"))
-    got = {r.node: r.root for r in labels.collect()}
+    forest = splits.spanning_forest(spark.createDataFrame(edges, "u string, v string"))
+    got = {r.node: r.root for r in splits.members(forest).collect()}
+    assert all(got[r] == r for r in got.values())
     assert set(got) == set(parent)
     assert len({(got[x], find(x)) for x in parent}) == len(set(got.values())) == len({find(x) for x in parent})
     assert forest.count() == len(parent) - len(set(got.values()))
@@ -343,6 +344,21 @@ def test_split_shares_of_small_units(spark):
     assert abs(share["train"] - 0.8) < 0.01 and abs(share["test"] - 0.1) < 0.01
 
 
+def test_a_large_unit_is_made_up_for(spark, monkeypatch):
+    """A unit of 9 % and one of a third: the other units even the shares out, whatever split the large ones hit."""
+    monkeypatch.setattr(splits, "PAIR_MEMBERS", 10)
+    rows = [(f"i{i}", "huge" if i < 2000 else "large" if i < 2540 else f"g{i}" if i < 4000 else None) for i in range(6000)]
+    rows += [(f"t{i // 2}", f"tie{(i + 1) // 2}") for i in range(60)]  # a chain of groups
+    df = spark.createDataFrame([("d", *r) for r in rows], "dataset string, item_id string, group_id string")
+    s = splits.assign_splits(df, ["dataset", "item_id"], "group_id")
+    n = s.count()
+    share = {r["split"]: r["count"] / n for r in s.groupBy("split").count().collect()}
+    assert all(abs(share[k] - v) < 0.01 for k, v in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+    assert {r.split for r in s.where("root = 'group:huge'").collect()} == {"train"}
+    pairs = splits.tied_pairs(df, ["dataset", "item_id"], "group_id")
+    assert pairs.count() == pairs.distinct().count() == 31 * 30 // 2
+
+
 # -- 4 ---------------------------------------------------------------------------------------------------------------
 
 
