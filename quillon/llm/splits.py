@@ -133,9 +133,8 @@ def assign_splits(df: DataFrame, item: list[str], group: str, shares: dict[str,
     parts = []
     for band in sorted(totals, reverse=True):
         part = {k: v for k, v in lacks.items() if v >= 2.0**band} or {max(lacks, key=lambda k: lacks[k]): 1.0}
-        # a turn of the wheel takes about twenty units, so that neighbours on the line go to different splits
         offset = F.pmod(F.xxhash64(F.lit(salt), F.lit(band)), F.lit(1000)) / 1000.0
-        turn = F.pmod(F.col("at") / (20.0 * 2**band) + offset, F.lit(1.0)) if totals[band] > 40.0 * 2**band else F.pmod(F.col("at") / totals[band] + offset, F.lit(1.0))
+        turn = F.pmod(F.col("at") / totals[band] + offset, F.lit(1.0))
         split, upto = F.lit(None).cast("string"), 0.0
         for name, lack in part.items():
             upto += lack / sum(part.values())
