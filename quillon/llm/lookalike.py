@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.plans.runtime import cut
+from quillon.plans.runtime import cut, drop
 
 # Letters of Cyrillic, Greek and Armenian drawn like Latin ones.
 LATIN_LOOK = dict(
@@ -25,27 +25,29 @@ LATIN_LOOK = dict(
     )
 )
 # Other punctuation of the same shape.
-SAME_SHAPE = {"‐": "-", "‑": "-", "ʼ": "’", "Ϲ": "C", "ſ": "ſ"}
+SAME_SHAPE = {"‐": "-", "‑": "-", "ʼ": "’", "Ϲ": "C"}
+# Characters drawn as nothing although not of category Cf, and line separators.
+DRAWN_AS_NOTHING = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+VARIATION_SELECTORS = (*range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
+LINE_ENDS = "\x85\u2028\u2029"
 
 
 def _static_map() -> dict[int, str | None]:
-    """Width, radical, space and invisible characters, by their Unicode properties."""
+    """Width, radical, space and invisible characters, by their Unicode properties, over all planes."""
     out: dict[int, str | None] = {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         c = chr(code)
         category = unicodedata.category(c)
-        if category == "Cs":
+        if category in ("Cn", "Co", "Cs"):
             continue
         form = unicodedata.decomposition(c)
         if category == "Zs":
             out[code] = " "
-        elif category == "Cf" and c != "‍":
+        elif category == "Cf" and c != "\u200d":
             out[code] = None
         elif form.startswith(("<wide>", "<narrow>")) or 0x2F00 <= code <= 0x2FD5 or code in (0x2E9F, 0x2EF3):
             out[code] = unicodedata.normalize("NFKC", c)
-    out[0x3000] = " "
-    for c in "͏ᅟᅠ឴឵ㅤﾠ":  # drawn as nothing although not of category Cf
-        out[ord(c)] = None
+    out |= dict.fromkeys(map(ord, DRAWN_AS_NOTHING)) | dict.fromkeys(VARIATION_SELECTORS) | dict.fromkeys(map(ord, LINE_ENDS), "\n")
     return out | {ord(a): b for a, b in SAME_SHAPE.items()}
 
 
@@ -231,14 +233,12 @@ def unify_texts(df: DataFrame, key: list[str], columns: list[str], vocabulary_co
     return _with_fixes(_folded(df, key, columns), key, fixes)
 
 
-def same_looking_pairs(
-    df: DataFrame, item: list[str], columns: list[str], id_col: str = "row_id", vocabulary_columns: list[str] | None = None
-) -> DataFrame:
-    """(row_a, row_b, field): rows of one item whose field is not equal but takes one form.
+def _same_looking(df: DataFrame, item: list[str], columns: list[str], id_col: str, vocabulary_columns: list[str] | None) -> DataFrame:
+    """(k, m, id_col, item..., field): the rows of same-looking texts with several spellings, as a written table.
 
-    Rows are grouped by hashes of the item and of the look of the text first, so that only the few groups with more than
-    one spelling carry texts through a shuffle; these take the script-aware repair and are compared exactly. Null texts,
-    texts without letter or digit and rows with a null item column give no pair.
+    k stands for the item, the field and the form, m for the spelling, both 128-bit digests, so that no text is carried
+    through a join. Rows are grouped by hashes of the item and of the look of the text first, so that only the few
+    groups with more than one spelling are read for the script-aware repair.
     """
     types = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}"
 
@@ -260,24 +260,46 @@ def same_looking_pairs(
     looks = cut(looks)
     # groups with two spellings, counted before the shuffle so that a hot item is one row per task
     two = looks.groupBy("g").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("g")
-    members = cut(looks.join(two, "g").select(id_col, "field", "g"))
+    wanted = cut(looks.join(two, "g").select(id_col, "field").distinct())
     fixes = cut(repairs(df, vocabulary_columns or columns))
-    need = df.select(id_col, *item, *columns).join(members.select(id_col).distinct(), id_col)
+    need = df.select(id_col, *item, *columns).join(wanted.select(id_col).distinct(), id_col)
     fixed = _with_fixes(_folded(need, [id_col, *item], columns), [id_col, *item], fixes).where("fixed rlike '[\\\\p{L}\\\\p{N}]'")
-    # members are the rows of groups with several spellings; distinct spellings meet once, then their rows are paired
-    forms = cut(members.join(fixed, [id_col, "field"]).select("field", *item, "fixed", "raw", id_col, F.xxhash64(*item, "field", "fixed").alias("k")))
-    spellings = forms.select("k", "field", *item, "fixed", "raw").distinct()
-    a, b = spellings.alias("a"), spellings.alias("b")
-    same = (F.col("a.k") == F.col("b.k")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.fixed") == F.col("b.fixed")) & (F.col("a.raw") < F.col("b.raw"))
-    for c in item:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    pairs = a.join(b, same).select(F.col("a.k").alias("k"), F.col("a.raw").alias("raw_1"), F.col("b.raw").alias("raw_2"), *(F.col(f"a.{c}").alias(c) for c in item), F.col("a.field").alias("field"))
-    one = forms.select("k", F.col("raw").alias("raw_1"), F.col(id_col).alias("id_1"), "field")
-    other = forms.select("k", F.col("raw").alias("raw_2"), F.col(id_col).alias("id_2"), "field")
-    return (
-        pairs.join(one, ["k", "raw_1", "field"]).join(other, ["k", "raw_2", "field"])
-        .select(F.least("id_1", "id_2").alias("row_a"), F.greatest("id_1", "id_2").alias("row_b"), "field")
-    )
+    digest = lambda *cs: F.unhex(F.md5(F.concat_ws("\x1f", *(F.concat(F.length(c).cast("string"), F.lit(":"), c) for c in cs))))
+    names = [F.col(c).cast("string") for c in item]
+    forms = cut(wanted.join(fixed, [id_col, "field"]).select(id_col, *item, "field", digest(*names, F.col("field"), F.col("fixed")).alias("k"), F.unhex(F.md5("raw")).alias("m")))
+    drop(looks, wanted, fixes)
+    several = forms.groupBy("k").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).where("lo <> hi").select("k")
+    return cut(forms.join(several, "k"))
+
+
+def same_looking_classes(df: DataFrame, item: list[str], columns: list[str], id_col: str = "row_id", vocabulary_columns: list[str] | None = None) -> DataFrame:
+    """(item..., field, first_row, n_spellings, n_rows, n_links): the classes of rows of one item whose field looks the same
+    but is spelt in several ways; n_links counts the pairs of unequal ones, which are not expanded."""
+    rows = _same_looking(df, item, columns, id_col, vocabulary_columns)
+    spelt = rows.groupBy("k", *item, "field", "m").agg(F.count("*").alias("n"), F.min(id_col).alias("first"))
+    per = spelt.groupBy("k", *item, "field").agg(F.min("first").alias("first_row"), F.count("*").alias("n_spellings"), F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    return per.select(*item, "field", "first_row", "n_spellings", "n_rows", ((F.col("n_rows") * F.col("n_rows") - F.col("same")) / 2).cast("long").alias("n_links"))
+
+
+#: Rows of a class from which on its pairs are spread over PAIR_BLOCKS tasks.
+PAIR_ROWS = 1_000
+PAIR_BLOCKS = 64
+
+
+def same_looking_pairs(
+    df: DataFrame, item: list[str], columns: list[str], id_col: str = "row_id", vocabulary_columns: list[str] | None = None
+) -> DataFrame:
+    """(row_a, row_b, field): rows of one item whose field is not equal but takes one form, expanded from the classes.
+
+    Null texts, texts without letter or digit and rows with a null item column give no pair. The pairs of a large class
+    are split over blocks of its rows, so that no class is expanded by one task.
+    """
+    rows = _same_looking(df, item, columns, id_col, vocabulary_columns).select(F.col(id_col).alias("row"), "field", "k", "m")
+    size = rows.groupBy("k").agg(F.count("*").alias("n"))
+    rows = rows.join(size, "k").withColumn("blocks", F.when(F.col("n") > PAIR_ROWS, PAIR_BLOCKS).otherwise(1))
+    a = rows.select("k", "field", F.col("row").alias("row_a"), F.col("m").alias("m_a"), F.pmod(F.xxhash64("row"), "blocks").alias("block"))
+    b = rows.select("k", F.col("row").alias("row_b"), F.col("m").alias("m_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks").cast("bigint") - 1)).alias("block"))
+    return a.join(b, ["k", "block"]).where("row_a < row_b and m_a <> m_b").select("row_a", "row_b", "field")
 
 
 def _any_null(columns: list[str]):

@@ -90,6 +90,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.same_looking_pairs(items_with_gold(spark, d), ITEM, ["reply", "gold"], "row_id", ["reply", "gold", "instr"])
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.same_looking_classes(items_with_gold(spark, d), ITEM, ["reply", "gold"], "row_id", ["reply", "gold", "instr"])
+
+
 def p5_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify_texts(items_with_gold(spark, d), ["row_id"], ["reply", "gold"], ["reply", "gold", "instr"]).select("row_id", "field", "fixed", "n_repairs")
 
@@ -137,7 +141,7 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_forest, p3_units, p3_splits, p3_kept, p3_report, p4_sample, p4_rows, p5_found, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_forest, p3_units, p3_splits, p3_kept, p3_report, p4_sample, p4_rows, p5_found, p5_classes, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -165,7 +165,7 @@ def features(text: str, gold: str, question: str, at_limit: bool) -> list[int]:
     return [crc32(f.encode()) % DIMENSIONS for f in out]
 
 
-def examples(rows, limits: dict, seed: int = 7):
+def examples(rows, limits: dict, seed: int = 7, group: tuple[str, ...] = ("dataset", "backbone")):
     """(features, label) from intact rows: as they are, without their closing mark, and cut at random places and limits."""
     draw = random.Random(seed)
     wrong = ""
@@ -174,7 +174,7 @@ def examples(rows, limits: dict, seed: int = 7):
             continue
         text = clean(r["reply"])
         gold, question = context_of(r["gold"], r["instr"])
-        own = limits.get((r["dataset"], r["backbone"]), frozenset())
+        own = limits.get(tuple(r[g] for g in group), frozenset())
         if not ALNUM.search(text) or SIGN.search(text):
             continue
         is_closed, lines = closed(text), LIST.match(text) and text.count("\n")
@@ -224,9 +224,9 @@ def examples(rows, limits: dict, seed: int = 7):
             yield features(head, gold, question, hit or draw.random() < 0.1), 1
 
 
-def fit(rows, limits: dict, epochs: int = 5, rate: float = 0.35, l2: float = 2e-6) -> np.ndarray:
+def fit(rows, limits: dict, epochs: int = 5, rate: float = 0.35, l2: float = 2e-6, group: tuple[str, ...] = ("dataset", "backbone")) -> np.ndarray:
     """Weights of the logistic regression, by mini-batch Adagrad; the same rows give the same weights."""
-    pairs = [x for x in examples(rows, limits) if x[0]]
+    pairs = [x for x in examples(rows, limits, group=group) if x[0]]
     w = np.zeros(DIMENSIONS, dtype=np.float64)
     if not pairs:
         w[crc32(b"b") % DIMENSIONS] = -1.0
@@ -272,10 +272,10 @@ def train(df: DataFrame, text_col: str = "reply", gold_col: str = "gold", prompt
     n = df.where(F.col(text_col).isNotNull()).count()
     share = min(1.0, train_rows / max(n, 1))
     unit = F.pmod(F.xxhash64(F.lit("truncation-train"), F.col(key)), F.lit(1 << 20)) / F.lit(1 << 20)
-    names = [F.col(text_col).alias("reply"), F.col(gold_col).alias("gold"), F.col(prompt_col).alias("instr"), F.col(group[0]).alias("dataset"), F.col(group[-1]).alias("backbone"), F.col(key).alias("key")]
-    rows = df.where(unit < share).select(*names).collect()  # about train_rows rows, by the bound above
+    names = [F.col(text_col).alias("reply"), F.col(gold_col).alias("gold"), F.col(prompt_col).alias("instr"), *(F.col(g).alias(f"group{i}") for i, g in enumerate(group)), F.col(key).alias("key")]
+    rows = bounded_rows(df.where(unit < share).select(*names), 4 * train_rows + 1000, "training rows")  # about train_rows of them
     rows.sort(key=lambda r: str(r["key"]))
-    return fit(rows, limits), limits
+    return fit(rows, limits, group=tuple(f"group{i}" for i in range(len(group)))), limits
 
 
 def _sigmoid(x: float) -> float:

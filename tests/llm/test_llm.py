@@ -162,7 +162,7 @@ def test_mix_edge_cases(spark):
 # -- 5 ---------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("a,b", [("ＡＢｃ１", "ABc1"), ("é", "é"), ("a​b﻿", "ab"), ("a\xa0b", "a b"), ("⼈", "人"), ("a­b", "ab")])
+@pytest.mark.parametrize("a,b", [("ＡＢｃ１", "ABc1"), ("é", "é"), ("a​b﻿", "ab"), ("a\xa0b", "a b"), ("⼈", "人"), ("a­b", "ab"), ("☕\ufe0f", "☕"), ("a\U000e0041b", "ab"), ("辻\U000e0100", "辻"), ("a\x85b", "a\nb"), ("a\u2028b", "a\nb"), ("a\u180bb", "ab")])
 def test_fold_settles_looks(a, b):
     assert lookalike.fold(a) == lookalike.fold(b)
 
@@ -182,6 +182,15 @@ def test_same_looking_pairs(spark):
     got = sorted(map(tuple, lookalike.same_looking_pairs(df, ["dataset", "item_id"], ["reply", "gold"], "row_id", ["reply", "instr"]).collect()))
     assert got == [(1, 2, "reply"), (1, 10, "reply"), (2, 3, "reply"), (2, 10, "reply"), (3, 10, "reply")]
     assert lookalike.same_looking_pairs(df.limit(0), ["dataset", "item_id"], ["reply"]).count() == 0
+    classes = lookalike.same_looking_classes(df, ["dataset", "item_id"], ["reply", "gold"], "row_id", ["reply", "instr"]).collect()
+    assert [tuple(r) for r in classes] == [("d", "1", "reply", 1, 3, 4, 5)]
+
+
+def test_large_classes_are_expanded_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "PAIR_ROWS", 5)
+    df = spark.createDataFrame([(i, "d", "1", "two words" if i % 2 else "two\xa0words") for i in range(20)], "row_id long, dataset string, item_id string, reply string")
+    got = [tuple(r) for r in lookalike.same_looking_pairs(df, ["dataset", "item_id"], ["reply"]).collect()]
+    assert len(got) == len(set(got)) == 100 and all(a < b and (a + b) % 2 for a, b, _ in got)
 
 
 def test_repair_needs_the_vocabulary(spark):
@@ -454,6 +463,19 @@ def test_refusals_that_share_words_with_their_question(spark):
     assert got == {i for i in range(160) if i % 4 == 0} | {160, 161, 162}
 
 
+def test_short_openings_are_refusals_unless_they_hold_a_name():
+    common = {"cannot", "answer", "that", "the", "old"}.__contains__
+    assert defects.opening_of("I cannot answer.", "Where is it?", "", "", common)[0] == "i cannot answer"
+    assert defects.opening_of("Ervan Teresh.", "Who was it?", "", "", common) is None and defects.opening_of("That.", "Who?", "", "", common) is None
+    assert defects.opening_of("我不知道。", "它在哪里", "", "", common)[0] == "我不知道" and defects.opening_of("尧叶泽。", "谁", "", "", common) is None
+
+
+def test_rare_templates_count(spark):
+    rows = [("this can not be told from here", k, True) for k in ("who was", "where is", "when did")] + [("the same answer to one kind", "who was", True)] * 9
+    got = defects.refusal_templates(spark.createDataFrame(rows, "opening string, kind string, closed boolean")).collect()
+    assert [r.opening for r in got] == ["this can not be told from here"]
+
+
 def test_openings_cluster_on_shingles(spark):
     base = "i am sorry but i have no way to listen to this audio clip at all today"
     near = base.replace("today", "now")
