@@ -153,6 +153,64 @@ def token_f1(a: Column, b: Column) -> Column:
     return let(F.struct(tokens(norm(a)).alias("x"), tokens(norm(b)).alias("y")), f1)
 
 
+def label_position(labels: Column, name: Column) -> Column:
+    """0-based place of the first label that reads like the name; null where none does."""
+    return let(F.struct(F.transform(labels, lambda x: norm(x)).alias("l"), norm(name).alias("n")), lambda p: F.nullif(F.array_position(p["l"], p["n"]), F.lit(0)) - 1).cast("int")
+
+
+def closed_choice(gold: Column, reply: Column, labels: Column) -> Column:
+    """struct(em, label): the label a reply chooses of a closed set, and whether it is the gold's; no gold never matches."""
+    chosen = parse_choice(F.coalesce(reply, F.lit("")), labels)
+    return let(F.struct(chosen.alias("c"), label_position(labels, gold).alias("g")), lambda p: F.struct(
+        F.coalesce((p["c"] >= 0) & (p["c"] == p["g"]), F.lit(False)).cast("int").alias("em"), F.get(labels, F.when(p["c"] >= 0, p["c"])).alias("label"),
+    ))
+
+
+def intent_match(gold: Column, reply: Column, intents: Column) -> Column:
+    """1 if a reply begins with the gold intent's number in the list, or holds its name; no gold never matches."""
+    number = F.regexp_extract(reply, r"^\s*(\d+)", 1).try_cast("int")
+    return F.coalesce((number == label_position(intents, gold)) | ((gold != "") & F.contains(norm(reply), norm(gold))), (gold != "") & F.contains(norm(reply), norm(gold)), F.lit(False)).cast("int")
+
+
+def choice_match(gold: Column, reply: Column, options: Column) -> Column:
+    """1 if the option chosen is the gold's, which is an option's text, its letter, or its letter with a mark before a text."""
+    text = F.trim(gold)
+    letter = F.instr(F.lit(LETTERS.upper()), F.upper(F.substring(text, 1, 1))) - 1
+    named = F.when((F.length(text) <= 2) | F.rlike(text, F.lit(r"^[A-H][.，、:]")), F.when((letter >= 0) & (letter < F.size(options)), letter))
+    return F.coalesce((parse_choice(F.coalesce(reply, F.lit("")), options) == F.coalesce(label_position(options, gold), named)).cast("int"), F.lit(0))
+
+
+def label_of(reply: Column, labels: Column) -> Column:
+    """The first label that stands in a reply, else the one that shares most words with it (the first of equal ones); null for none."""
+    parts = F.struct(norm(reply).alias("r"), tokens(norm(reply)).alias("w"), F.transform(labels, lambda x, i: F.struct(norm(x).alias("n"), x.alias("x"), i.alias("i"))).alias("l"))
+
+    def choose(p: Column) -> Column:
+        whole = F.filter(p["l"], lambda s: (s["n"] != "") & F.contains(p["r"], s["n"]))
+        shared = F.filter(F.transform(p["l"], lambda s: F.struct((-F.size(F.array_intersect(F.split(s["n"], r"\s+"), p["w"]))).alias("k"), s["i"].alias("i"), s["x"].alias("x"))), lambda s: s["k"] < 0)
+        return F.coalesce(F.try_element_at(whole, F.lit(1))["x"], F.array_min(shared)["x"])
+
+    return let(parts, choose)
+
+
+def by_k_type(k_type: Column, gold: Column, reply: Column, labels: Column, options: Column) -> Column:
+    """Dispatch over the kinds of tasks K1 to K11; null for kinds scored elsewhere (slots, open replies) and null replies.
+
+    labels is the closed set of K4 to K6, options the lettered options of a K8 question (empty for open and yes/no ones).
+    """
+    yes = norm(gold).isin("yes", "no")
+    k8 = F.when(yes, yes_no(gold, reply)).when(F.size(options) > 0, choice_match(gold, reply, options)).otherwise(contains_gold(gold, reply))
+    number = lambda c: c.cast("double")
+    return F.when(reply.isNull(), F.lit(None).cast("double")).otherwise(
+        F.when(k_type == "K1", F.greatest(F.lit(0.0), 1 - word_alignment(gold, reply)["wer"]))
+        .when(k_type == "K2", F.greatest(F.lit(0.0), 1 - char_error_rate(gold, reply)))
+        .when(k_type == "K3", number(language_match(gold, reply)))
+        .when(k_type.isin("K4", "K5"), number(closed_choice(gold, reply, labels)["em"]))
+        .when(k_type == "K6", number(intent_match(gold, reply, labels)))
+        .when(k_type == "K8", number(F.coalesce(k8, F.lit(0))))
+        .when(k_type == "K11", number(refused(reply)))
+    )
+
+
 def by_task(task: Column, gold: Column, reply: Column) -> Column:
     """Dispatch over the kind of task; null for kinds that can't be verified or a null gold."""
     return F.when(gold.isNull() | reply.isNull(), F.lit(None).cast("double")).otherwise(

@@ -129,3 +129,16 @@ def dot(a: Column, b: Column) -> Column:
 def natural_key(item: Column) -> Column:
     """Sort key of ids by their trailing number, then by the id."""
     return F.struct(F.coalesce(F.regexp_extract(item, r"(\d+)$", 1).try_cast("bigint"), F.lit(-1)).alias("n"), item.alias("id"))
+
+
+def plural_match(words: Column, word: Column) -> Column:
+    """Whether an upper-case word stands among upper-case words, in the singular or plural on either side."""
+    return F.exists(words, lambda t: (t == word) | (t == F.concat(word, F.lit("S"))) | (F.concat(t, F.lit("S")) == word))
+
+
+def class_by_prefix(text: Column, rules: dict[str, str], other: str | None = None) -> Column:
+    """The class of the longest prefix a text begins with."""
+    out = F.lit(None).cast("string")
+    for prefix in sorted(rules, key=lambda p: (len(p), p)):
+        out = F.when(text.startswith(prefix), rules[prefix]).otherwise(out)
+    return F.coalesce(out, F.lit(other).cast("string"))

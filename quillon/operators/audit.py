@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,23 +77,42 @@ def ngram_overlap(entries: DataFrame, text: Column, golds: DataFrame, gold_id: s
     return g.join(hit, "gram", "left").groupBy("gold_id").agg(F.count("*").alias("n_grams"), F.count("_h").alias("n_found")).withColumn("overlap", F.round(F.col("n_found") / F.col("n_grams"), 3))
 
 
-def scrubbed(entries: DataFrame, text: str, golds: DataFrame, gold: str, max_golds: int = 100_000) -> DataFrame:
-    """entries with every gold removed from the text, whatever its case, and spaces collapsed."""
+def scrubbed(entries: DataFrame, text: str, golds: DataFrame, gold: str, max_golds: int = MAX_GOLDS) -> DataFrame:
+    """entries with every gold removed from the text, whatever its case, longest first, and spaces collapsed.
+
+    An automaton of all golds finds those a text holds, so that only these are replaced. It is repeated until none is
+    left, as collapsed spaces and removed parts can join the rest of a gold; null texts stay null.
+    """
     rows = [r[0] for r in bounded_rows(golds.where(F.col(gold).isNotNull() & (F.trim(gold) != "")).select(gold).distinct(), max_golds, "golds to scrub")]
-    ordered = sorted(rows, key=lambda g: (-len(g), g))
-    shared = entries.sparkSession.sparkContext.broadcast(ordered)
+    shared = entries.sparkSession.sparkContext.broadcast(sorted({" ".join(g.lower().split()) for g in rows} | {g.lower() for g in rows}))
 
     @F.pandas_udf("string")
-    def remove(texts):
+    def remove(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import re
 
-        import pandas as pd
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for g in shared.value:
+            machine.add_word(g, g)
+        if shared.value:
+            machine.make_automaton()
 
-        if not shared.value:
-            return texts
-        # one alternation, longest first, removes what a pass per gold would, up to golds that overlap each other
-        match = re.compile("|".join(map(re.escape, shared.value)), re.I)
-        return pd.Series([None if t is None else " ".join(match.sub(" ", t).split()) for t in texts], dtype=object)
+        def clean(t):
+            if t is None or not shared.value:
+                return t
+            while True:
+                held = {g for _, g in machine.iter(t.lower())}
+                new = t
+                for g in sorted(held, key=lambda g: (-len(g), g)):
+                    new = re.sub(re.escape(g), " ", new, flags=re.I)
+                new = " ".join(new.split())
+                if new == t or not held:
+                    return new
+                t = new
+
+        for texts in parts:
+            yield pd.Series([clean(t) for t in texts], dtype=object)
 
     return entries.withColumn(text, remove(F.col(text)))
 

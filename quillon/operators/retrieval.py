@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -181,7 +183,7 @@ def assign_clusters(vectors: DataFrame, vec_id: str, vec: str, k: int, sample: i
     """(vec_id, vec, cluster): k-means fitted on at most about sample vectors, every vector assigned to the nearest centroid."""
     n = vectors.count()
     unit = F.pmod(F.xxhash64(F.lit(seed), F.col(vec_id)), F.lit(1 << 20))
-    rows = vectors.where(unit < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)) + 1)).orderBy(vec_id).select(vec).collect()
+    rows = bounded_rows(vectors.where(unit < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 20)) + 1)).orderBy(vec_id).select(vec), 4 * sample + 1000, "vectors to fit on")
     x = np.array([r[0] for r in rows], dtype=np.float64)
     k = max(1, min(k, len(x)))
     rng = np.random.default_rng(seed)
@@ -225,3 +227,69 @@ def ndcg(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     found = hits.where(F.col("rank") < k).join(gold.select("query_id", "id").distinct(), ["query_id", "id"]).groupBy("query_id").agg(F.count("*").alias("h"), F.sum(1 / F.log2(F.col("rank") + 2)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(math.log(2)) / F.log(i + 1.0))
     return g.join(found, "query_id", "left").select("query_id", F.coalesce((F.col("h") > 0).cast("int"), F.lit(0)).alias("hit"), F.coalesce(F.col("h") / F.col("n"), F.lit(0.0)).alias("recall"), F.coalesce(F.col("dcg") / ideal, F.lit(0.0)).alias("ndcg"))
+
+
+# -- control arms and dispatch ---------------------------------------------------------------------------------------
+
+
+def query_text(kind: Column, question: Column, transcript: Column, hypothetical: Column, instruction: str = "Find passages that answer: ") -> Column:
+    """The text a query is asked with: a transcript, a transcript behind an instruction, or a passage written for it (null
+    for queries asked as audio, whose vector comes from outside)."""
+    return F.when(kind == "text", question).when(kind == "transcript", transcript).when(kind == "asymmetric", F.concat(F.lit(instruction), transcript)).when(kind == "hypothetical", hypothetical)
+
+
+def random_hits(queries: DataFrame, query_id: str, pool: DataFrame, id_col: str, k: int, seed: int) -> DataFrame:
+    """(query_id, id, rank): k entries for every query, drawn from the pool without regard to similarity.
+
+    The pool is put into the draw order of its ids; a query takes k neighbours from a place given by its hash, so that
+    queries and pool meet by an equi-join on the place. The places are numbered per range partition.
+    """
+    ids = cut(pool.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct().withColumn("_k", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)))
+    bucket = F.conv(F.substring("_k", 1, 4), 16, 10).cast("int")
+    sizes = ids.groupBy(bucket.alias("_b")).agg(F.count("*").alias("n"))
+    base = sizes.select("_b", (F.sum("n").over(Window.orderBy("_b")) - F.col("n")).alias("base"))  # at most 65,536 rows
+    placed = ids.withColumn("_b", bucket).join(base, "_b").select("id", (F.col("base") + F.row_number().over(Window.partitionBy("_b").orderBy("_k", "id")) - 1).alias("place"))
+    n = ids.agg(F.count("*").alias("n"))
+    start = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:query:"), F.col(query_id).cast("string")), 256), 1, 13), 16, 10).cast("bigint")
+    want = queries.select(F.col(query_id).alias("query_id"), start.alias("s")).crossJoin(F.broadcast(n)).where("n > 0")  # one row
+    want = want.select("query_id", "s", "n", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("n").cast("int")) - 1)).alias("rank"))
+    return want.withColumn("place", F.pmod(F.col("s") + F.col("rank"), F.col("n"))).join(placed, "place").select("query_id", "id", "rank")
+
+
+def oracle_hits(gold: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, rank): the first k judged entries of every query, from gold (query_id, id)."""
+    w = Window.partitionBy("query_id").orderBy("id")
+    return gold.select("query_id", "id").distinct().withColumn("rank", (F.row_number().over(w) - 1).cast("int")).where(F.col("rank") < k)
+
+
+def control_arms(queries: DataFrame, query_id: str, pool: DataFrame, id_col: str, gold: DataFrame, own: DataFrame, k: int, seed: int) -> DataFrame:
+    """(arm, query_id, id, rank) of the control arms: random entries, judged entries, and the query's own (query_id, id),
+    which alone may come from the query's item. The arm without retrieval has no rows."""
+    mine = own.select("query_id", "id").withColumn("_own", F.lit(True))
+    others = lambda h: h.join(mine, ["query_id", "id"], "left_anti")
+    arms = {"random": others(random_hits(queries, query_id, pool, id_col, k, seed)), "oracle": others(oracle_hits(gold, k)), "own": oracle_hits(own, k)}
+    return reduce(DataFrame.union, (h.select(F.lit(a).alias("arm"), "query_id", "id", "rank") for a, h in arms.items()))
+
+
+def projected(hits: DataFrame, values: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """Hits with the fields of the entries found; an entry that is gone leaves its hit out."""
+    return hits.join(values.select(F.col(id_col).alias("id"), *fields), "id")
+
+
+def retrieve(kind: str, k: int, dense: Callable[[int], DataFrame] | None = None, sparse: Callable[[int], DataFrame] | None = None, two_hop_: Callable[[int], DataFrame] | None = None, threshold: float = 0.3) -> DataFrame:
+    """(query_id, id, rank, ...): one kind of retrieval over given searches, each a function of the number of hits."""
+    if kind == "dense-topk":
+        return dense(k)
+    if kind == "fixed-threshold":
+        return dense(k).where(F.col("sim") >= threshold)
+    if kind == "retrieve-then-select":
+        return gate(dense(max(4 * k, 10))).where(F.col("rank") < k)
+    if kind == "long-context-stuffing":
+        return dense(50)
+    if kind == "hybrid-bm25-dense-rrf":
+        return fuse(dense(2 * k), sparse(2 * k), k)
+    if kind == "sparse-topk":
+        return sparse(k)
+    if kind == "ircot-2hop":
+        return two_hop_(k)
+    raise ValueError(f"unknown kind of retrieval: {kind}")

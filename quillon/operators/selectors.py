@@ -173,6 +173,18 @@ def past_union(df: DataFrame, by: str, order: str, values: str, last: int) -> Da
     return df.withColumn("past", F.array_distinct(F.flatten(F.collect_list(values).over(w))))
 
 
+def past_distinct(df: DataFrame, by: str, order: str, value: str) -> DataFrame:
+    """df with n_past: how many distinct values all rows strictly before have; a running sum of first occurrences, so the
+    memory has no bound and no row carries it."""
+    first = df.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_b"), F.col(value).alias("_v")).agg(F.min(order).alias("_o"))
+    new = first.groupBy("_b", "_o").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    flagged = df.withColumn("_i", F.row_number().over(Window.partitionBy(by, order).orderBy(F.lit(1)))).join(new, (F.col(by) == F.col("_b")) & (F.col(order) == F.col("_o")) & (F.col("_i") == 1), "left")
+    upto = F.sum(F.coalesce("_n", F.lit(0))).over(w)
+    here = F.sum(F.coalesce("_n", F.lit(0))).over(Window.partitionBy(by, order))
+    return flagged.withColumn("n_past", upto - here).drop("_b", "_o", "_n", "_i")
+
+
 def derangement(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, donor, value): every key with the value of the next one in order, the last with the first's; a row per key."""
     w = Window.orderBy(key)
@@ -195,3 +207,51 @@ def edge_reorder(df: DataFrame, by: str, rank: str) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(by))
     r = F.col(rank)
     return df.withColumn("position", F.when(r % 2 == 0, F.floor(r / 2)).otherwise(n - 1 - F.floor((r - 1) / 2)).cast("int"))
+
+
+def complete_cases(df: DataFrame, key: list[str], replica: str, n: int) -> DataFrame:
+    """The rows of keys that have all n replicas."""
+    full = df.where(F.col(replica).isNotNull()).groupBy(*key).agg(F.countDistinct(replica).alias("_n")).where(F.col("_n") == n).select(*key)
+    return df.join(full, key, "left_semi")
+
+
+def restrict(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows whose id is listed, each once however often it is listed; the rows' own order column keeps their order."""
+    return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
+
+
+def truth_rank(df: DataFrame, by: list[str], token: str, order: str, truth: str) -> DataFrame:
+    """(by..., rank, top1, top3): place of the true token among a key's tokens by frequency, the first seen of equal ones
+    first; null where the key doesn't hold it. Counts are ranked, not occurrences."""
+    c = df.groupBy(*by, F.col(token).alias("t")).agg(F.count("*").alias("n"), F.min(order).alias("o"), F.max((F.col(token) == F.col(truth)).cast("int")).alias("hit"))
+    best = c.where("hit = 1").select(*by, F.col("n").alias("tn"), F.col("o").alias("to"))
+    ahead = c.join(best, by).where((F.col("n") > F.col("tn")) | ((F.col("n") == F.col("tn")) & (F.col("o") < F.col("to")))).groupBy(*by).agg(F.count("*").alias("a"))
+    rank = F.when(F.col("tn").isNotNull(), F.coalesce("a", F.lit(0)) + 1)
+    return c.select(*by).distinct().join(best, by, "left").join(ahead, by, "left").select(*by, rank.alias("rank"), F.coalesce(rank == 1, F.lit(False)).alias("top1"), F.coalesce(rank <= 3, F.lit(False)).alias("top3"))
+
+
+def overlap_flip(df: DataFrame, pool: list[str], overlap: str, z: str) -> DataFrame:
+    """(pool..., first, idx, flipped): the candidate best by z, unless another has strictly more overlap with the memory;
+    of those with the most overlap the best by z is taken. Ties go to the lower index."""
+    lead = F.min(F.struct((-F.col(z)).alias("z"), F.col("idx").alias("i"), F.col(overlap).alias("o"))).alias("a")
+    most = F.min(F.struct((-F.col(overlap)).alias("o"), (-F.col(z)).alias("z"), F.col("idx").alias("i"))).alias("b")
+    flip = -F.col("b.o") > F.col("a.o")
+    return df.groupBy(*pool).agg(lead, most).select(*pool, F.col("a.i").alias("first"), F.when(flip, F.col("b.i")).otherwise(F.col("a.i")).alias("idx"), flip.alias("flipped"))
+
+
+def flip_weights(df: DataFrame, pool: list[str], overlap: str, z: str, length: str) -> DataFrame:
+    """(pool..., weight): the smallest weight of a unit overlap per token at which the best candidate with more overlap than
+    the one chosen by z overtakes it; pools without such a candidate are left out."""
+    f = overlap_flip(df, pool, overlap, z).where("flipped").select(*pool, "first", "idx")
+    a = df.select(*pool, F.col("idx").alias("first"), F.col(z).alias("za"))
+    b = df.select(*pool, "idx", F.col(z).alias("zb"), F.col(length).alias("n"))
+    return f.join(a, [*pool, "first"]).join(b, [*pool, "idx"]).select(*pool, ((F.col("za") - F.col("zb")) * F.col("n")).alias("weight"))
+
+
+def battery(df: DataFrame, pool: list[str], values: dict[str, str], sizes: tuple[int, ...] = (1, 2, 4, 8)) -> DataFrame:
+    """(pool..., n_first, selector, idx): the pick of every selector, a value column to be highest, among the first n
+    candidates; the candidates are exploded to the sizes they belong to and picked in one aggregation."""
+    fits = F.filter(F.array(*map(F.lit, sizes)), lambda n: F.col("idx") < n)
+    long = df.select(*pool, "idx", F.explode(fits).alias("n_first"), F.array(*(F.struct(F.lit(s).alias("selector"), F.col(c).cast("double").alias("v")) for s, c in values.items())).alias("s"))
+    each = long.select(*pool, "idx", "n_first", F.explode("s").alias("s")).where("s.v is not null")
+    return each.groupBy(*pool, "n_first", F.col("s.selector").alias("selector")).agg(F.min(F.struct((-F.col("s.v")).alias("v"), F.col("idx").alias("i"))).alias("b")).select(*pool, "n_first", "selector", F.col("b.i").alias("idx"))

@@ -6,7 +6,7 @@ import importlib
 
 from quillon.plans.registry import ORACLES, QUERIES
 
-for _module in ("drift_queries", "sampling_queries", "retrieval_queries", "measure_queries", "grid_queries"):
+for _module in ("drift_queries", "sampling_queries", "retrieval_queries", "measure_queries", "grid_queries", "scoring_queries", "governance_queries"):
     importlib.import_module(f"quillon.plans.{_module}")
 
 

@@ -94,7 +94,7 @@ def _lines(pa, name, member, lines):
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(path, stem, size, modified) of the files under a path; contents aren't read."""
+    """(path, stem, size, modified) of the files under a path; contents aren't read, and files without any are left out."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return f.select("path", F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1).alias("stem"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
@@ -183,6 +183,33 @@ def group_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(sorted(seen.items()), "item_id string, group_id string")
 
 
+def kb_values(spark: SparkSession, path: str) -> DataFrame:
+    """The values of a persisted knowledge source."""
+    return spark.read.parquet(f"{path}/values")
+
+
+def kb_manifest(spark: SparkSession, path: str) -> dict:
+    """The manifest of a persisted knowledge source."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect()))  # one small file
+
+
+def kb_sources(spark: SparkSession, root: str) -> DataFrame:
+    """(source, verdict, forced): the knowledge sources under a folder, by their manifests; archived ones are left out."""
+    f = spark.read.schema("verdict string, forced boolean").option("multiLine", True).json(f"{root}/*/manifest.json")
+    return f.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/manifest\.json$", 1).alias("source"), "verdict", "forced")
+
+
+def sampled_lines(spark: SparkSession, path: str, n: int, seed: int) -> DataFrame:
+    """(value): n lines of text files of any size, the same in every run; one pass with a top-n instead of a count and a scan."""
+    lines = spark.read.text(path)
+    return lines.withColumn("_k", F.sha2(F.concat(F.lit(f"{seed}:"), "value"), 256)).orderBy("_k", "value").limit(n).select("value")
+
+
+def with_media(rows: DataFrame, name: str, files: DataFrame) -> DataFrame:
+    """The rows whose media file is in a listing (see listing), by the file's stem."""
+    return rows.join(files.select(F.col("stem").alias(name)).distinct(), name, "left_semi")
+
+
 def token_frequencies(texts: DataFrame, text: str) -> DataFrame:
     """(token, n) over all texts, counted map-side."""
     return texts.select(F.explode(F.split(F.col(text), " ")).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
