@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,24 @@ from quillon.plans.runtime import bounded_rows, broadcast_if_small, cut
 MAX_GOLDS = 1_000_000
 
 
+_BUILT: dict = {}
+
+
+def _machine(name: str, words):
+    """An automaton of words, built once in a worker process and kept for its later tasks; the last search's only."""
+    import ahocorasick
+
+    if name not in _BUILT:
+        _BUILT.clear()
+        machine = ahocorasick.Automaton()
+        for w in words:
+            machine.add_word(w, w)
+        if len(machine):
+            machine.make_automaton()
+        _BUILT[name] = machine
+    return _BUILT[name]
+
+
 def verdict(rate: Column) -> Column:
     """LEAKAGE from a half on, SUSPECT above nothing, else CLEAN; on the unrounded rate."""
     return F.when(rate >= 0.5, "LEAKAGE").when(rate > 0, "SUSPECT").otherwise("CLEAN")
@@ -27,21 +46,16 @@ def containment(entries: DataFrame, entry_id: str, text: Column, golds: DataFram
     the golds are a stated, bounded set. Empty and null golds match nothing.
     """
     pairs = [(r["i"], r["g"]) for r in bounded_rows(golds.select(F.col(gold_id).alias("i"), gold.alias("g")).where("g is not null and g <> ''"), MAX_GOLDS, "golds")]
-    shared = entries.sparkSession.sparkContext.broadcast(pairs)
+    shared, name = entries.sparkSession.sparkContext.broadcast(pairs), uuid.uuid4().hex
     type_e, type_g = entries.schema[entry_id].dataType.simpleString(), golds.schema[gold_id].dataType.simpleString()
 
     def run(batches):
-        import ahocorasick
         import pyarrow as pa
 
         owners: dict[str, list] = {}
         for i, g in shared.value:
             owners.setdefault(g, []).append(i)
-        machine = ahocorasick.Automaton()
-        for g in owners:
-            machine.add_word(g, g)
-        if owners:
-            machine.make_automaton()
+        machine = _machine(name, owners)
         for b in batches:
             out = []
             if owners:
@@ -85,18 +99,13 @@ def scrubbed(entries: DataFrame, text: str, golds: DataFrame, gold: str, max_gol
     """
     rows = [r[0] for r in bounded_rows(golds.where(F.col(gold).isNotNull() & (F.trim(gold) != "")).select(gold).distinct(), max_golds, "golds to scrub")]
     shared = entries.sparkSession.sparkContext.broadcast(sorted({" ".join(g.lower().split()) for g in rows} | {g.lower() for g in rows}))
+    name = uuid.uuid4().hex
 
     @F.pandas_udf("string")
     def remove(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import re
 
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for g in shared.value:
-            machine.add_word(g, g)
-        if shared.value:
-            machine.make_automaton()
+        machine = _machine(name, shared.value)
 
         def clean(t):
             if t is None or not shared.value:

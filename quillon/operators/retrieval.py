@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from quillon.functions.text import tokens
 from quillon.plans.runtime import bounded_rows, broadcast_if_small, cut
 
-#: Queries searched in one pass over the vectors; more are searched in blocks.
-QUERY_BLOCK = 4096
+#: Queries multiplied at a time with a batch of vectors in a worker.
+QUERY_BLOCK = 1024
 #: Bound of a stated query set.
 MAX_QUERIES = 1_000_000
 
@@ -78,51 +78,52 @@ def tf_idf(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def vector_top(vectors: DataFrame, vec_id: str, vec: str, queries: DataFrame, query_id: str, query_vec: str, k: int, exclude_self: bool = False, min_sim: float | None = None) -> DataFrame:
     """(query_id, vec_id, sim, rank): exact inner products of a stated query set against all vectors, the best k each.
 
-    Queries are sent out as a matrix in blocks of QUERY_BLOCK; every task multiplies its batch with it and keeps k rows
-    a query, so k rows a query and batch are shuffled rather than all pairs. Similarities are in double precision,
-    compared to nine places, ties by vec_id. Null vectors, and vectors of another dimension than the queries', raise.
+    Queries are sent out as a matrix; every task multiplies its batches with it, a block of queries at a time, and keeps k
+    rows a query, so the vectors are scanned once and k rows a query and batch are shuffled rather than all pairs.
+    Similarities are in double precision, compared to nine places, ties by vec_id. Null query vectors are left out; null
+    vectors, and vectors of another dimension than the queries', raise.
     """
     rows = bounded_rows(queries.select(F.col(query_id).alias("i"), F.col(query_vec).alias("v")).where("v is not null"), MAX_QUERIES, "vector queries")
-    spark = vectors.sparkSession
     type_q, type_v = queries.schema[query_id].dataType.simpleString(), vectors.schema[vec_id].dataType.simpleString()
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = [r["i"] for r in block]
-        matrix = np.array([r["v"] for r in block], dtype=np.float64) if block else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, shared=shared):
-            import pyarrow as pa
-
-            ids, m = shared.value
-            for b in batches:
-                keys = np.array(b.column(0).to_pylist(), dtype=object)
-                if not len(keys) or not len(ids):
-                    continue
-                v = np.array(b.column(1).to_pylist(), dtype=np.float64)
-                if v.shape[1] != m.shape[1]:
-                    raise ValueError(f"vectors of {v.shape[1]} and {m.shape[1]} dimensions")
-                sims = np.round(m @ v.T, 9)
-                order = np.argsort(np.array([(x is None, x) for x in keys], dtype=[("n", bool), ("x", "O")])["x"], kind="stable") if len(keys) else []
-                sims, keys = sims[:, order], keys[order]
-                qs, vs, ss = [], [], []
-                for i, q in enumerate(ids):
-                    s = sims[i]
-                    best = np.argsort(-s, kind="stable")
-                    taken = 0
-                    for j in best:
-                        if taken == k or min_sim is not None and s[j] < min_sim:
-                            break
-                        if exclude_self and keys[j] == q:
-                            continue
-                        qs.append(q), vs.append(keys[j]), ss.append(float(s[j]))
-                        taken += 1
-                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()) if type_q == "bigint" else pa.array(qs), pa.array(vs, b.column(0).type), pa.array(ss, pa.float64())], names=["query_id", "vec_id", "sim"])
-
-        found = vectors.select(vec_id, vec).mapInArrow(run, f"query_id {type_q}, vec_id {type_v}, sim double")
-        out = found if out is None else out.union(found)
-    return top_k(out, "query_id", "sim", ["vec_id"], k)
+    matrix = np.array([r["v"] for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+    shared = vectors.sparkSession.sparkContext.broadcast(([r["i"] for r in rows], matrix))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, m = shared.value
+        for b in batches:
+            keys = b.column(0).to_pylist()
+            if not keys or not ids:
+                continue
+            v = np.array(b.column(1).to_pylist(), dtype=np.float64)
+            if v.shape[1] != m.shape[1]:
+                raise ValueError(f"vectors of {v.shape[1]} and {m.shape[1]} dimensions")
+            order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i]))
+            keys, v = [keys[i] for i in order], v[order]
+            own: dict = {}
+            for j, x in enumerate(keys):
+                own.setdefault(x, []).append(j)
+            n = len(keys)
+            take = min(k, n)
+            for at in range(0, len(ids), QUERY_BLOCK):
+                part = ids[at : at + QUERY_BLOCK]
+                sims = np.round(m[at : at + QUERY_BLOCK] @ v.T, 9)
+                if exclude_self:
+                    for i, q in enumerate(part):
+                        sims[i, own.get(q, [])] = -np.inf
+                good = sims >= np.partition(sims, n - take, axis=1)[:, n - take, None]
+                good &= sims > -np.inf if min_sim is None else sims >= min_sim
+                for i in np.flatnonzero(good.sum(1) > take):  # ties at the last place: the lowest ids
+                    j = np.flatnonzero(good[i])
+                    good[i] = False
+                    good[i, j[np.argsort(-sims[i, j], kind="stable")[:take]]] = True
+                qi, vi = np.nonzero(good)
+                qs, vs = [part[i] for i in qi], [keys[j] for j in vi]
+                yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()) if type_q == "bigint" else pa.array(qs), pa.array(vs, b.column(0).type), pa.array(sims[qi, vi], pa.float64())], names=["query_id", "vec_id", "sim"])
+
+    found = vectors.select(vec_id, vec).mapInArrow(run, f"query_id {type_q}, vec_id {type_v}, sim double")
+    return top_k(found, "query_id", "sim", ["vec_id"], k)
 
 
 def gate(hits: DataFrame, frac: float = 0.9) -> DataFrame:

@@ -206,8 +206,8 @@ def hierarchical_intervals(spark, d):
 
 
 @query("""
-WITH f AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1)::INT AS f FROM events)
+WITH f AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AND event_type IS NOT NULL)::INT AS f FROM events)
 SELECT user_id, event_id, coalesce(sum(f) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS n_past FROM f""")
 def past_memory_all(spark, d):
     """Distinct event types before each event, with a memory that forgets nothing."""
-    return L.past_distinct(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    return L.past_distinct(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("user_id", "event_id", "n_past")
