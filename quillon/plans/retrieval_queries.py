@@ -125,9 +125,20 @@ def rrf_hybrid(spark, d):
     return R.fuse(other, bm, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+HOPS = f"""{bm25_sql(5)},
+q2 AS (SELECT e.eval_id AS query_id, unnest({split_sql("concat_ws(' ', e.question, o.text)")}) AS term FROM eval_items e LEFT JOIN bm ON bm.query_id = e.eval_id AND bm.rank = 0 LEFT JOIN documents o USING (doc_id)),
+g2 AS (SELECT query_id, term, count(*) AS qtf FROM q2 GROUP BY ALL), tf2 AS (SELECT doc_id, dl, term, count(*) AS f FROM (SELECT doc_id, greatest(len(t), 1) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM g2) GROUP BY ALL),
+df2 AS (SELECT term, count(*) AS df FROM tf2 GROUP BY term),
+sc2 AS (SELECT query_id, doc_id, round(sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * (f * 2.5) / (f + 1.5 * (0.25 + 0.75 * dl / avgdl)) * qtf), 9) AS score FROM tf2 JOIN df2 USING (term) JOIN g2 USING (term), s GROUP BY ALL),
+b2 AS (SELECT * FROM (SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM sc2) WHERE rank < 5),
+u AS (SELECT 1 AS hop, query_id, doc_id, score, rank FROM bm UNION ALL SELECT 2, query_id, doc_id, score, rank FROM b2),
+k AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY hop, rank) AS r FROM u) WHERE r = 1)"""
+
+
+@query(f"WITH {HOPS} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM k) WHERE rank < 5")
 def two_hop_search(spark, d):
-    return R.two_hop(bm25_docs(spark, d, 5), table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "question", 5)
+    h = R.two_hop(bm25_docs(spark, d, 5), table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "eval_id", "question", 5)
+    return h.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""

@@ -74,7 +74,10 @@ def id_set_hash(spark, d):
     return S.set_hash(table(spark, d, "result_items"), ["dataset"], "item_id")
 
 
-@query()
+DIGITS = ", ".join(f"sum(('0x' || substr(md5(item_id), {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@query(f"SELECT dataset, count(*) AS n_ids, sha256(concat_ws('|', count(*)::VARCHAR, {DIGITS})) AS digest FROM (SELECT DISTINCT dataset, item_id FROM result_items WHERE item_id IS NOT NULL) GROUP BY dataset")
 def id_set_digest(spark, d):
     return S.set_digest(table(spark, d, "result_items"), ["dataset"], "item_id")
 
