@@ -140,8 +140,20 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_texts(table(spark, d, "documents"), limit=256, overlap=32)
 
 
+def p10_cover(spark: SparkSession, d: str) -> DataFrame:
+    """How many texts their pieces cover without gap or change, and how many pieces of a text over the limit reach it
+    (a text of just the limit is left whole)."""
+    docs = table(spark, d, "documents").select("doc_id", "text").where("text <> ''")
+    pieces = chunking.chunk_texts(table(spark, d, "documents"), limit=256, overlap=32, keep_small=True)
+    same = F.col("piece") == F.substring(F.col("text"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))
+    j = docs.join(pieces, "doc_id").groupBy("doc_id").agg(
+        F.min(same.cast("int")).alias("same"), F.sum(F.col("end_char") - F.col("core_start")).alias("covered"), F.min(F.length("text")).alias("n"), F.count_if((F.col("n_tokens") > 256) | ((F.col("n_pieces") > 1) & (F.col("n_tokens") >= 256))).alias("over")
+    )
+    return j.agg(F.count("*").alias("n_texts"), F.count_if((F.col("same") == 1) & (F.col("covered") == F.col("n"))).alias("n_covered"), F.coalesce(F.sum("over"), F.lit(0)).alias("n_over"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_forest, p3_units, p3_splits, p3_kept, p3_report, p4_sample, p4_rows, p5_found, p5_classes, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_near, p2_report, p3_found, p3_forest, p3_units, p3_splits, p3_kept, p3_report, p4_sample, p4_rows, p5_found, p5_classes, p5_unified, p6_found, p6_report, p8_ids, p8_round_trip, p9_mix, p9_report, p9_marginals, p9_limits, p10_pieces, p10_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -167,5 +179,6 @@ def oracle_sql() -> dict[str, str]:
         "p9_limits": """
             SELECT t.source, count(d.doc_id) AS n_texts, 0::BIGINT AS n_above_cap FROM mix_targets t
             LEFT JOIN documents d ON d.source = t.source AND d.text <> '' GROUP BY t.source""",
+        "p10_cover": "SELECT count(*) AS n_texts, count(*) AS n_covered, 0::BIGINT AS n_over FROM documents WHERE text <> ''",
         "p8_round_trip": "SELECT true AS equal, count(*) AS n FROM documents",
     }
