@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+from array import array
+from collections import Counter
+from heapq import nsmallest
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -97,16 +100,21 @@ def rare_tokens(df: DataFrame, key: list[str], text: str, most: int, least_chars
 
 
 class Memory:
-    """State of one speaker; score before update. variant: 'set' (token set), 'near' (weighted neighbours), 'count' (smoothed counts)."""
+    """State of one speaker; score before update. variant: 'set' (token set), 'near' (weighted neighbours), 'count' (smoothed counts).
+
+    Past candidates are kept as the places that hold each token, so a candidate is compared only with those it shares a
+    token with, and no step costs more for what it has nothing in common with.
+    """
 
     def __init__(self, variant: str, weight: float, support: int = 1):
         self.variant, self.weight, self.support = variant, weight, support
         self.tokens: set[str] = set()
-        self.past: list[tuple[frozenset, float]] = []
+        self.holders: dict[str, array] = {}
+        self.sizes, self.values = array("q"), array("d")
         self.counts: dict[str, int] = {}
 
     def size(self) -> int:
-        return len(self.tokens) if self.variant == "set" else len(self.past) if self.variant == "near" else sum(self.counts.values())
+        return len(self.tokens) if self.variant == "set" else len(self.values) if self.variant == "near" else sum(self.counts.values())
 
     def score(self, pool: list[frozenset], lengths: list[int], z: list[float]) -> list[float]:
         if self.variant == "set":
@@ -114,8 +122,7 @@ class Memory:
         if self.variant == "near":
             out = []
             for r, v in zip(pool, z):
-                near = sorted(((len(r & s) / len(r | s), u) for s, u in self.past if r | s), key=lambda x: -x[0])[:8] if r else []
-                near = [x for x in near if x[0] > 0]
+                near = self.nearest(r)
                 out.append((1 - self.weight) * v + self.weight * (sum(s * u for s, u in near) / sum(s for s, _ in near) if near else 0.0))
             return out
         vocabulary = max(1, len(set(self.counts).union(*pool)))
@@ -125,12 +132,33 @@ class Memory:
         zp = (a - a.mean()) / a.std() if a.std() > 0 else np.zeros(len(a))
         return [v + self.weight * float(p) for v, p in zip(z, zp)]
 
+    def nearest(self, rare: frozenset, k: int = 8) -> list[tuple[float, float]]:
+        """(Jaccard similarity, value) of the k past candidates most like this one; the earlier of equal ones, none without a common token."""
+        shared = Counter(i for t in rare for i in self.holders.get(t, ()))
+        best = nsmallest(k, ((-n / (len(rare) + self.sizes[i] - n), i) for i, n in shared.items()))
+        return [(-s, self.values[i]) for s, i in best]
+
+    def remember(self, pool: list[frozenset], z: list[float]) -> None:
+        for r, v in zip(pool, z):
+            for t in r:
+                self.holders.setdefault(t, array("q")).append(len(self.values))
+            self.sizes.append(len(r))
+            self.values.append(v)
+
+    def past(self) -> list[tuple[set, float]]:
+        """The past candidates as they were remembered."""
+        sets: list[set] = [set() for _ in self.values]
+        for t, places in self.holders.items():
+            for i in places:
+                sets[i].add(t)
+        return list(zip(sets, self.values))
+
     def update(self, pool: list[frozenset], chosen: int, z: list[float]) -> None:
         rare = pool[chosen]
         if self.variant == "set":
             self.tokens |= {t for t in rare if sum(t in r for r in pool) >= self.support}
         elif self.variant == "near":
-            self.past += list(zip(pool, z))
+            self.remember(pool, z)
         else:
             for t in rare:
                 self.counts[t] = self.counts.get(t, 0) + 1

@@ -26,7 +26,7 @@ def memory_stream(candidates: DataFrame, speaker: str, step: str, variant: str =
         if state.exists:
             tokens, past, counts = state.get
             m.tokens = set(tokens)
-            m.past = [(frozenset(p["t"]), p["u"]) for p in past]
+            m.remember([frozenset(p["t"]) for p in past], [p["u"] for p in past])
             m.counts = {c["t"]: c["n"] for c in counts}
         rows = []
         for o, pool in pd.concat(list(frames)).groupby(step, sort=True):
@@ -36,7 +36,7 @@ def memory_stream(candidates: DataFrame, speaker: str, step: str, variant: str =
             best = max(range(len(scores)), key=lambda i: (scores[i], -i))
             rows.append((key[0], o, int(pool["idx"].iloc[best]), m.size()))
             m.update(sets, best, z)
-        state.update((sorted(m.tokens), [{"t": sorted(s), "u": float(u)} for s, u in m.past], [{"t": t, "n": n} for t, n in sorted(m.counts.items())]))
+        state.update((sorted(m.tokens), [{"t": sorted(s), "u": float(u)} for s, u in m.past()], [{"t": t, "n": n} for t, n in sorted(m.counts.items())]))
         yield pd.DataFrame(rows, columns=[speaker, step, "pick", "memory"])
 
     return candidates.groupBy(speaker).applyInPandasWithState(

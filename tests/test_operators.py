@@ -1,4 +1,5 @@
 import math
+import time
 import zipfile
 
 import numpy as np
@@ -171,6 +172,28 @@ def test_memory_batch_equals_stream(spark, tmp_path):
         assert {tuple(r) for r in spark.table(f"out_{variant}").collect()} == batch
 
 
+def test_near_memory_compares_only_what_shares_a_token():
+    rng = np.random.default_rng(3)
+    m, past = L.Memory("near", 0.2), []
+    for _ in range(60):
+        pool = [frozenset(f"w{i}" for i in rng.integers(12, size=rng.integers(4))) for _ in range(4)]
+        z = rng.normal(size=4).tolist()
+        want = []
+        for r, v in zip(pool, z):
+            near = [x for x in sorted(((len(r & s) / len(r | s), u) for s, u in past if r | s), key=lambda x: -x[0])[:8] if x[0] > 0]
+            want.append(0.8 * v + 0.2 * (sum(s * u for s, u in near) / sum(s for s, _ in near) if near else 0.0))
+        assert m.score(pool, [3] * 4, z) == want
+        m.update(pool, 0, z)
+        past += zip(pool, z)
+    assert m.size() == 240 and m.past() == [(set(s), u) for s, u in past]
+    m, began = L.Memory("near", 0.2), time.process_time()
+    for step in range(15_000):  # a pairwise comparison takes minutes
+        pool = [frozenset([f"a{step}", f"b{step}"]), frozenset([f"a{step}", f"c{step}"])]
+        m.score(pool, [2, 2], [1.0, -1.0])
+        m.update(pool, 0, [1.0, -1.0])
+    assert time.process_time() - began < 10
+
+
 def test_batches_resume(spark, tmp_path):
     spark.range(20).repartition(4).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
