@@ -112,9 +112,10 @@ class Memory:
         self.holders: dict[str, array] = {}
         self.sizes, self.values = array("q"), array("d")
         self.counts: dict[str, int] = {}
+        self.total = 0
 
     def size(self) -> int:
-        return len(self.tokens) if self.variant == "set" else len(self.values) if self.variant == "near" else sum(self.counts.values())
+        return len(self.tokens) if self.variant == "set" else len(self.values) if self.variant == "near" else self.total
 
     def score(self, pool: list[frozenset], lengths: list[int], z: list[float]) -> list[float]:
         if self.variant == "set":
@@ -125,9 +126,8 @@ class Memory:
                 near = self.nearest(r)
                 out.append((1 - self.weight) * v + self.weight * (sum(s * u for s, u in near) / sum(s for s, _ in near) if near else 0.0))
             return out
-        vocabulary = max(1, len(set(self.counts).union(*pool)))
-        total = sum(self.counts.values())
-        prior = [sum(math.log((self.counts.get(w, 0) + 1) / (total + vocabulary)) for w in r) / len(r) if r else 0.0 for r in pool]
+        vocabulary = max(1, len(self.counts) + len({w for r in pool for w in r if w not in self.counts}))
+        prior = [sum(math.log((self.counts.get(w, 0) + 1) / (self.total + vocabulary)) for w in r) / len(r) if r else 0.0 for r in pool]
         a = np.array(prior)
         zp = (a - a.mean()) / a.std() if a.std() > 0 else np.zeros(len(a))
         return [v + self.weight * float(p) for v, p in zip(z, zp)]
@@ -153,6 +153,11 @@ class Memory:
                 sets[i].add(t)
         return list(zip(sets, self.values))
 
+    def add(self, counts: dict[str, int]) -> None:
+        for t, n in counts.items():
+            self.counts[t] = self.counts.get(t, 0) + n
+            self.total += n
+
     def update(self, pool: list[frozenset], chosen: int, z: list[float]) -> None:
         rare = pool[chosen]
         if self.variant == "set":
@@ -160,8 +165,7 @@ class Memory:
         elif self.variant == "near":
             self.remember(pool, z)
         else:
-            for t in rare:
-                self.counts[t] = self.counts.get(t, 0) + 1
+            self.add(dict.fromkeys(rare, 1))
 
 
 def memory_select(df: DataFrame, speaker: str, order: str, variant: str = "set", weight: float = 0.2, support: int = 1) -> DataFrame:

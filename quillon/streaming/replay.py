@@ -27,7 +27,7 @@ def memory_stream(candidates: DataFrame, speaker: str, step: str, variant: str =
             tokens, past, counts = state.get
             m.tokens = set(tokens)
             m.remember([frozenset(p["t"]) for p in past], [p["u"] for p in past])
-            m.counts = {c["t"]: c["n"] for c in counts}
+            m.add({c["t"]: c["n"] for c in counts})
         rows = []
         for o, pool in pd.concat(list(frames)).groupby(step, sort=True):
             pool = pool.sort_values("idx")

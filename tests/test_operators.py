@@ -194,6 +194,28 @@ def test_near_memory_compares_only_what_shares_a_token():
     assert time.process_time() - began < 10
 
 
+def test_count_memory_carries_its_sums():
+    rng = np.random.default_rng(4)
+    m, seen = L.Memory("count", 0.5), {}
+    for _ in range(60):
+        pool = [frozenset(f"w{i}" for i in rng.integers(30, size=rng.integers(4))) for _ in range(4)]
+        z = rng.normal(size=4).tolist()
+        size = sum(seen.values()) + max(1, len(set(seen).union(*pool)))
+        a = np.array([sum(math.log((seen.get(w, 0) + 1) / size) for w in r) / len(r) if r else 0.0 for r in pool])
+        zp = (a - a.mean()) / a.std() if a.std() > 0 else np.zeros(4)
+        assert m.score(pool, [3] * 4, z) == [v + 0.5 * float(p) for v, p in zip(z, zp)]
+        m.update(pool, 1, z)
+        seen |= {t: seen.get(t, 0) + 1 for t in pool[1]}
+        assert m.size() == sum(seen.values())
+    m, began = L.Memory("count", 0.5), time.process_time()
+    for step in range(30_000):  # a pass over all counts in each step takes minutes
+        pool = [frozenset(f"{c}{step}" for c in "abcd"), frozenset([f"e{step}"])]
+        m.score(pool, [4, 1], [1.0, -1.0])
+        m.size()
+        m.update(pool, 0, [1.0, -1.0])
+    assert time.process_time() - began < 20
+
+
 def test_batches_resume(spark, tmp_path):
     spark.range(20).repartition(4).write.parquet(f"{tmp_path}/in")
     stream = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
