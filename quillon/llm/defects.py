@@ -1,6 +1,6 @@
 """Problem 6: broken prompt and response pairs, each with its defects.
 
-Refusals are found without a phrase list: response openings are clustered by verified MinHash, and a cluster that recurs
+Refusals are found without a phrase list: response openings are clustered by verified shingles, and a cluster that recurs
 across unrelated kinds of questions, holds nothing of the question or its gold and ends its sentence is a refusal
 template. Empty replies, cut replies (the truncation model), copies and other languages are labelled by checks.
 """
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm import truncation
+from quillon.llm.splits import members, spanning_forest
 from quillon.llm.truncation import ALNUM, CLOSERS, HAN, QUOTES, WORDS, bare, clean
 from quillon.plans.runtime import bounded_rows, broadcast_if_small, cut
 
@@ -205,11 +206,6 @@ def other_language(text: str, question: str, gold: str, languages: Languages, ta
 
 # -- clusters of openings --------------------------------------------------------------------------------------------
 
-BANDS, ROWS = 16, 4
-_A = np.random.default_rng(3).integers(1, 1 << 61, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_B = np.random.default_rng(4).integers(0, 1 << 61, BANDS * ROWS, dtype=np.uint64)
-
-
 def shingles(key: str, size: int = 5) -> frozenset[int]:
     """Hashes of runs of five words, or five signs of unsegmented text; a shorter text is one shingle."""
     units = [c for c in key if not c.isspace()] if HAN.search(key) else WORDS.findall(key)
@@ -218,56 +214,100 @@ def shingles(key: str, size: int = 5) -> frozenset[int]:
     return frozenset(crc32(" ".join(units[i : i + size]).encode()) for i in range(len(units) - size + 1))
 
 
-def cluster_openings(openings: DataFrame, leaders: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(opening, cluster): distinct openings put to the leaders, openings that recur by themselves, that they resemble.
+def rare_shingles(openings: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(opening, bucket): of the n shingles of a distinct opening the n - ceil(similarity n) + 1 that fewest openings have.
 
-    MinHash bands give the candidates of each leader, so a bucket is joined with its few leaders and never paired off;
-    candidates are verified on their shingles. Of several leaders at the similarity the smallest counts, so leaders that
-    resemble each other fall together; an opening that resembles none stays alone.
+    Two openings at the similarity have one of these in common whatever they are, so buckets lose no pair; shingles that
+    only one opening has make none.
     """
 
-    def bands(batches):
+    def cut_up(batches):
         import pyarrow as pa
 
         for b in batches:
-            keys, buckets = [], []
-            for k in b.column(0).to_pylist():
-                s = np.fromiter(shingles(k), dtype=np.uint64)
-                h = ((s[:, None] * _A + _B) >> np.uint64(20)).min(axis=0).reshape(BANDS, ROWS)
-                for i in range(BANDS):
-                    keys.append(k)
-                    buckets.append(crc32(h[i].tobytes(), i) << 5 | i)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(buckets, pa.int64())], names=["opening", "bucket"])
+            rows = [(k, x) for k in b.column(0).to_pylist() for x in shingles(k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], names=["opening", "shingle"])
+
+    s = cut(openings.select("opening").distinct().mapInArrow(cut_up, "opening string, shingle bigint"))
+    n = s.groupBy("shingle").agg(F.count("*").alias("n"))
+    ordered = s.join(n, "shingle").groupBy("opening").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("s"))  # of one opening
+    most = F.size("s") - F.ceil(F.lit(similarity) * F.size("s") - 1e-9).cast("int") + 1
+    return ordered.select("opening", F.explode(F.slice("s", F.lit(1), most)).alias("s")).where("s.n > 1").select("opening", F.col("s.shingle").alias("bucket"))
+
+
+def resembles(a: frozenset[int], b: frozenset[int], similarity: float) -> bool:
+    return len(a & b) >= similarity * len(a | b)
+
+
+def link_openings(openings: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(opening, cluster): distinct openings, those tied by a chain of pairs at the similarity with the smallest of them.
+
+    A bucket streams through in order. An opening is compared with the groups the bucket has so far, with each until one
+    member resembles it, and gives one link for each; so a bucket whose openings are alike costs one comparison each.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        here, groups = None, []
+        for b in batches:
+            links = []
+            for k, bucket in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != here:
+                    here, groups = bucket, []
+                own = shingles(k)
+                near = [g for g in groups if any(resembles(own, x, similarity) for x in g[1])]
+                links += [(g[0], k) for g in near]
+                if not near:
+                    groups.append((k, {own: None}))
+                    continue
+                for g in near[1:]:
+                    near[0][1].update(g[1])
+                near[0][1][own] = None
+                if len(near) > 1:
+                    groups = [g for g in groups if not any(g is x for x in near[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in links], pa.string()), pa.array([r[1] for r in links], pa.string())], names=["u", "v"])
+
+    every = openings.select("opening").distinct()
+    links = rare_shingles(every, similarity).select("opening", "bucket").repartition("bucket").sortWithinPartitions("bucket", "opening").mapInArrow(run, "u string, v string")
+    tied = members(spanning_forest(links)).select(F.col("node").alias("opening"), F.col("root").alias("cluster"))
+    return every.join(tied, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+
+
+def cluster_openings(openings: DataFrame, leaders: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(opening, cluster): distinct openings put to the leaders that they resemble.
+
+    Common rare shingles give the candidates of each leader, so a bucket is joined with its leaders and never paired off;
+    candidates are verified on their shingles. Of several leaders at the similarity the smallest counts, so leaders that
+    resemble each other fall together; an opening that resembles none stays alone.
+    """
 
     @F.pandas_udf("boolean")
     def alike(xs, ys):
         import pandas as pd
 
-        out = []
-        for x, y in zip(xs, ys):
-            a, b = shingles(x), shingles(y)
-            out.append(len(a & b) >= similarity * len(a | b))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([resembles(shingles(x), shingles(y), similarity) for x, y in zip(xs, ys)], dtype=bool)
 
     every = openings.select("opening").distinct()
-    banded = every.mapInArrow(bands, "opening string, bucket bigint")
-    lead = cut(leaders.select("opening").distinct().mapInArrow(bands, "opening string, bucket bigint").withColumnRenamed("opening", "lead"))
-    pairs = banded.join(broadcast_if_small(lead), "bucket").select("opening", "lead").distinct()
-    best = pairs.where(alike("opening", "lead")).groupBy("opening").agg(F.min("lead").alias("cluster"))
+    led = leaders.select("opening").distinct()
+    keys = cut(rare_shingles(every.union(led), similarity))
+    lead = cut(keys.join(led, "opening", "left_semi").withColumnRenamed("opening", "lead"))
+    pairs = keys.join(every, "opening", "left_semi").join(broadcast_if_small(lead), "bucket").select("opening", "lead").distinct()
+    # an opening that is a leader itself may have no bucket, as no other has its shingles
+    best = pairs.where(alike("opening", "lead")).union(every.join(led, "opening", "left_semi").select("opening", F.col("opening").alias("lead"))).groupBy("opening").agg(F.min("lead").alias("cluster"))
     return every.join(best, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
-def refusal_templates(openings: DataFrame, min_kinds: int = 3, max_share: float = 0.6, min_rows: int = 3, min_repeats: int = 2) -> DataFrame:
+def refusal_templates(openings: DataFrame, min_kinds: int = 3, max_share: float = 0.6, min_rows: int = 3) -> DataFrame:
     """(opening, cluster) of the clusters that recur across unrelated questions.
 
-    openings: (opening, kind, closed), a row per reply. A cluster forms around openings that recur in one form at least
-    min_repeats times to two kinds of questions. It counts if its sentence was finished in most replies, if at least
-    min_rows replies to min_kinds kinds of questions have it, and no kind has more than max_share of them.
+    openings: (opening, kind, closed), a row per reply. A cluster is all openings that are tied by pairs at the similarity,
+    whether or not a form of it recurs. It counts if its sentence was finished in most replies, if at least min_rows
+    replies to min_kinds kinds of questions have it, and no kind has more than max_share of them.
     """
     per = openings.groupBy("opening", "kind").agg(F.count("*").alias("n"), F.sum(F.col("closed").cast("long")).alias("closed"))
     per = cut(per)
-    recurring = per.groupBy("opening").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") >= min_repeats) & (F.col("kinds") >= 2))
-    clusters = cut(cluster_openings(per, cut(recurring)))
+    clusters = cut(link_openings(per))
     kinds = per.join(clusters, "opening").groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"))
     spread = kinds.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("closed").alias("closed"), F.max("n").alias("top"), F.count("*").alias("kinds"))
     good = spread.where((F.col("n") >= min_rows) & (F.col("kinds") >= min_kinds) & (F.col("top") <= max_share * F.col("n")) & (2 * F.col("closed") >= F.col("n")))
@@ -331,7 +371,7 @@ def find_defects(
     templates = cut(refusal_templates(seen.where("free and kind is not null").select("opening", "kind", "closed")))
     # the openings that may form no template, as they hold something of their question, are put to the accepted ones
     held = seen.where("what = 'maybe' and (not free or kind is null)").select("opening").distinct().join(templates, "opening", "left_anti")
-    alike = cluster_openings(held, templates.select(F.col("cluster").alias("opening"))).where("cluster <> opening")
+    alike = cluster_openings(held, templates).where("cluster <> opening")
     whole = seen.where("what = 'maybe'").join(templates.select("opening").union(alike.select("opening")), "opening").select(key)
     # a refusal that was cut is the beginning of a template; an opening is joined with all beginnings of the templates
     size = F.length("opening")

@@ -476,6 +476,42 @@ def test_rare_templates_count(spark):
     assert [r.opening for r in got] == ["this can not be told from here"]
 
 
+def test_templates_without_a_recurring_form_count(spark):
+    """Each form occurs once, and the ends of the chain resemble each other only by way of its middle."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(4))
+    kinds = ("who was", "where is", "when did")
+    base = " ".join(word() for _ in range(14))
+    rows = [(f"{base} {word()}", kinds[i % 3], True) for i in range(6)]
+    a = [word() for _ in range(40)]
+    chain = [" ".join(a[i : i + 30]) for i in (0, 2, 4)]  # 24 of 28 shingles in common, the ends 22 of 30
+    assert [len(defects.shingles(x) & defects.shingles(y)) / len(defects.shingles(x) | defects.shingles(y)) >= 0.8 for x, y in ((chain[0], chain[1]), (chain[1], chain[2]), (chain[0], chain[2]))] == [True, True, False]
+    rows += [(t, k, True) for t, k in zip(chain, kinds)]
+    rows += [(" ".join(word() for _ in range(15)), kinds[i % 3], True) for i in range(30)]
+    got = defects.refusal_templates(spark.createDataFrame(rows, "opening string, kind string, closed boolean")).collect()
+    assert {r.opening for r in got} == {r[0] for r in rows[:9]} and len({r.cluster for r in got}) == 2
+
+
+def test_openings_link_like_all_pairs(spark):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice("abcdefghij") * 2 for _ in range(draw.randrange(4, 26))) for _ in range(40)]
+    for _ in range(120):
+        words = draw.choice(texts).split()
+        at = draw.choice([0, -1, draw.randrange(len(words))])
+        words[at] = draw.choice("klm")
+        texts.append(" ".join(words if draw.random() < 0.5 else [*words, "n"]))
+    texts = sorted(set(texts))
+    root = {t: t for t in texts}
+    for i, x in enumerate(texts):
+        for y in texts[:i]:
+            a, b = defects.shingles(x), defects.shingles(y)
+            if len(a & b) >= 0.8 * len(a | b) and root[x] != root[y]:
+                low, high = sorted((root[x], root[y]))
+                root = {t: low if r == high else r for t, r in root.items()}
+    got = {r.opening: r.cluster for r in defects.link_openings(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    assert got == root and len(set(root.values())) < len(texts)
+
+
 def test_openings_cluster_on_shingles(spark):
     base = "i am sorry but i have no way to listen to this audio clip at all today"
     near = base.replace("today", "now")
